@@ -33,4 +33,11 @@ def op8_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognise(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_warc_archive, op7_prefix_targets, op8_licence_rules)}
+def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fmindex import find_contamination
+
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_ids", "spans", "clean_text")
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_warc_archive, op7_prefix_targets, op8_licence_rules, op10_fm_decontamination)}

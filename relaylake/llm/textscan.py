@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -95,3 +96,36 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[edge - 1] = inside[edge]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return range_hash(prefix(kept), start, end), start, end, np.searchsorted(start, offsets)
+
+
+def lowered(column: pa.Array) -> pa.Array:
+    """Lower case that keeps every byte where it was: a letter whose lower case has another length stays."""
+    low = pc.utf8_lower(column)
+    moved = np.flatnonzero(np.diff(np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]) != np.diff(buffers(column)[1]))
+    if len(moved):
+        texts = low.to_pylist()
+        for i in moved:
+            texts[i] = "".join(b if len((b := c.lower()).encode()) == len(c.encode()) else c for c in column[int(i)].as_py())
+        low = pa.array(texts, pa.large_string())
+    return low
+
+
+def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, bounds) of the runs of ``size`` words of each text; a shorter text that has words has one run, of all of them."""
+    total, count = len(hashes), np.diff(bounds)
+    if not total:
+        return np.zeros(0, np.uint64), np.zeros_like(bounds)
+    out = hashes * np.uint64(BASE)
+    padded = np.concatenate([hashes, np.zeros(size, np.uint64)])
+    for k in range(1, size):
+        out += padded[k : k + total] * powers(BASE, size + 1)[k + 1]
+    short = np.flatnonzero((count > 0) & (count < size))
+    for i in short:
+        own = hashes[bounds[i] : bounds[i + 1]]
+        out[bounds[i]] = (own * powers(BASE, size + 1)[1 : len(own) + 1]).sum(dtype=np.uint64)
+    keep = np.ones(total, bool)
+    for k in range(1, size):
+        at = bounds[1:] - k
+        keep[at[at >= bounds[:-1] + (count < size)]] = False
+    kept = np.where(count > 0, np.maximum(count - size + 1, 1), 0)
+    return mix(out[keep]), np.concatenate([[0], np.cumsum(kept)])
