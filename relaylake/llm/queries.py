@@ -40,4 +40,10 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_ids", "spans", "clean_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_warc_archive, op7_prefix_targets, op8_licence_rules, op10_fm_decontamination)}
+def op4_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_warc_archive, op7_prefix_targets, op8_licence_rules, op10_fm_decontamination, op4_bbit_minhash)}
