@@ -46,4 +46,10 @@ def op4_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_warc_archive, op7_prefix_targets, op8_licence_rules, op10_fm_decontamination, op4_bbit_minhash)}
+def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxic_documents
+
+    return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_warc_archive, op7_prefix_targets, op8_licence_rules, op10_fm_decontamination, op4_bbit_minhash, op9_counterfactual_toxicity)}
