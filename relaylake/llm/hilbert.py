@@ -29,6 +29,8 @@ from pyspark.sql.window import Window
 from .common import free_name, replace_columns
 
 COARSE_BITS = 12
+#: Dictionaries of at most so many values are broadcast; larger ones are joined by a shuffle.
+BROADCAST_VALUES = 100_000
 
 
 @lru_cache
@@ -95,7 +97,8 @@ def _cells(df: DataFrame, dims: list[Dim], bits: int) -> tuple[DataFrame, list[s
             ranks = df.where(col.isNotNull()).groupBy(col.alias("v")).agg(F.count(F.lit(1)).alias("n"))
             ranks = ranks.select(F.col("v").alias(key), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("b"), F.sum("n").over(Window.partitionBy()).alias("t"))
             ranks = ranks.select(key, F.expr(f"cast(b * {size} div t as int)").alias(name))
-            df = df.join(ranks, col == F.col(key), "left").drop(key).withColumn(name, F.coalesce(name, F.lit(0)))
+            small = df.agg(F.approx_count_distinct(col, 0.05)).first()[0] <= BROADCAST_VALUES
+            df = df.join(F.broadcast(ranks) if small else ranks, col == F.col(key), "left").drop(key).withColumn(name, F.coalesce(name, F.lit(0)))
         elif d.kind == "log":
             v = F.greatest(col.cast("bigint"), F.lit(1))
             e = F.length(F.bin(v)) - 1
