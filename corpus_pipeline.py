@@ -1,3 +1,77 @@
-STAGES = []
+"""The corpus pipeline: five stages, each written as Parquet and reread by the next.
+
+1. toxicity: documents that the counterfactually regularised classifier rejects go;
+2. line dedup: repeated and nearly repeated lines go, and documents left empty by that;
+3. MinHash near-dedup: one document of each group of near copies stays;
+4. benchmark decontamination: passages of the benchmark are cut out, and documents
+   left without a word by that go;
+5. packing: what remains fills windows with lexical neighbours.
+
+Every stage handles null, empty and repeated rows as its operator says; documents
+that no decision touches come through unchanged. A changed text gets its length
+in ``n_chars``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from relaylake.llm.common import shared_dir, table
+from relaylake.llm.fmindex import find_contamination
+from relaylake.llm.linededup import without_repeated_lines
+from relaylake.llm.minhash import near_duplicates
+from relaylake.llm.packing import pack_documents
+from relaylake.llm.toxicity import THRESHOLD, train, with_scores
+
+
+def _retexted(docs: DataFrame, text) -> DataFrame:
+    """``docs`` with a new text, and its length where it changed."""
+    changed = ~text.eqNullSafe(F.col("text"))
+    cut = {"text": text, "n_chars": F.when(changed, F.length(text).cast("bigint")).otherwise(F.col("n_chars"))}
+    return docs.select(*[cut[c].alias(c) if c in cut else F.col(f"`{c}`") for c in docs.columns])
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return with_scores(docs, model, score_column="__toxicity", keep=(0.0, THRESHOLD)).drop("__toxicity")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = without_repeated_lines(docs.withColumn("__old", F.length("text")))
+    changed = F.coalesce(F.length("text"), F.lit(-1)) != F.coalesce(F.col("__old"), F.lit(-1))
+    return cut.select(*[F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = near_duplicates(docs).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), only_hits=False)
+    left = found.where(F.col("item_ids").isNull() | F.col("clean_text").rlike(r"[\p{L}\p{N}]"))
+    return _retexted(left, F.col("clean_text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("MinHash near-dedup", minhash_dedup), ("benchmark decontamination", decontamination), ("packing", packing)]
+
+#: The classifier, the sketches and the greedy packing have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to the documents; each result is written to the shared folder and reread."""
+    docs = table(spark, sf_dir, "documents")
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(f"{base}/{k}")
+        docs = spark.read.schema(made.schema).parquet(f"{base}/{k}")
+    return docs
