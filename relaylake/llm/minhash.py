@@ -7,7 +7,7 @@ that chance makes equal is taken out of the estimate.
 
 Plan: one map over the texts makes the signatures, which are all that is written
 and shuffled. Texts with equal minima become one at once. Band keys are shuffled
-with the packed signature and sorted; within a bucket a search over unvisited
+with the id; only where two texts meet does the packed signature follow. Within a bucket a search over unvisited
 members joins a group of m copies in about m comparisons, and an unlike bucket
 is compared whole, so there is no cap on its size. A bucket passes on a spanning
 forest of its matches, which has the same components.
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise, strings
 from .components import components
@@ -175,9 +176,11 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     signed = materialise(signatures(docs, id_column, text_column))
     firsts = materialise(signed.groupBy("whole").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     same = signed.join(firsts.select("whole", F.col("id").alias("first")), "whole").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    keyed = firsts.select(F.explode("bands").alias("key"), "id", "sig").repartition("key").sortWithinPartitions("key")
-    pairs = keyed.mapInArrow(_bucketer(needed(threshold)), "a bigint, b bigint")
-    found = components(pairs.distinct(), "a", "b")
+    # Most keys have one text: only (key, id) is shuffled for those, and signatures follow where texts meet.
+    keyed = firsts.select(F.explode("bands").alias("key"), "id").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    members = keyed.where("n > 1").select("key", "id").join(firsts.select("id", "sig"), "id")
+    pairs = members.select("key", "id", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(_bucketer(needed(threshold)), "a bigint, b bigint")
+    found = components(materialise(pairs), "a", "b")
     # Copies of a first follow it, so the graph of the rounds holds distinct texts only.
     of_firsts = same.select(F.col("a").alias("node"), F.col("b").alias("first")).distinct().join(found.select(F.col("node").alias("first"), F.col("root").alias("up")), "first", "left")
     moved = of_firsts.select("node", F.coalesce("up", "first").alias("root")).unionAll(found)
