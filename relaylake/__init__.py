@@ -1,0 +1 @@
+"""Relay analytics on PySpark: events, filters, state resolution, counts, streams and reconciliation."""
