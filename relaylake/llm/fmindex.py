@@ -43,7 +43,7 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     rank = text.astype(np.int64) + len(ends)
     rank[ends] = np.arange(len(ends))
     bits = max(1, int(rank.max()).bit_length())
-    step = max(1, 62 // bits)
+    step = min(n, max(1, 62 // bits))
     key = rank.copy()
     for k in range(1, step):
         key <<= bits

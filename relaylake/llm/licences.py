@@ -9,8 +9,9 @@ Plan: a map over the scan. Every known sentence has one of ANCHORS in it, so
 texts and sentences without any are skipped by a substring search; that changes
 no result (``known_sentences`` asserts it).
 
-Defined results: a sentence ends at . ! or ? before white space, or at an empty
-line; one that spans lines is looked up whole and, where unknown, line by line;
+Defined results: a sentence ends at . ! or ? before white space, after the
+"conditions:" and "met:" that open a list of terms, or at an empty line; one that
+spans lines is looked up whole and, where unknown, line by line;
 texts without a known sentence, null and empty ones give no row; repeated
 sentences count once for each place; repeated rows give repeated results.
 """
@@ -75,7 +76,7 @@ ANCHORS = ["licens", "copyright", "permission", "warrant", "liab", "redistribut"
 
 def split_python(text: str) -> list[str]:
     """Sentences of a text, by the rules above; the SQL and Spark forms must agree with it."""
-    return re.sub(r"([.!?])\s+", r"\1\n\n", text).split("\n\n")
+    return re.sub(r"([.!?]|conditions:|met:)\s+", r"\1\n\n", text).split("\n\n")
 
 
 def normal_python(sentence: str) -> str:
@@ -108,7 +109,7 @@ def recognise(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
     anchors = "|".join(ANCHORS)
     has = lambda s: F.lower(s).rlike(anchors)
     look = lambda s: F.try_element_at(known, _normal(s))
-    rows = df.where(has(text)).select(F.col(f"`{id_column}`").alias("doc_id"), F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n\n"), "\n\n"), has).alias("ss"))
+    rows = df.where(has(text)).select(F.col(f"`{id_column}`").alias("doc_id"), F.filter(F.split(F.regexp_replace(text, r"([.!?]|conditions:|met:)\s+", "$1\n\n"), "\n\n"), has).alias("ss"))
     by_line = lambda s: F.filter(F.transform(F.filter(F.split(s, "\n"), has), look), lambda x: x.isNotNull())
     ids = F.flatten(F.transform("ss", lambda s: F.when(look(s).isNotNull(), F.array(look(s))).otherwise(by_line(s))))
     rows = rows.select("doc_id", F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("sentence_ids")).where(F.col("sentence_ids") != "")
@@ -132,8 +133,8 @@ def oracle(documents: str = "documents") -> str:
         left = f"replace({left}, {pattern}, '#')"
     firsts = ", ".join(met)
     return f"""
-WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10) || chr(10), 'g'), chr(10) || chr(10))) AS s,
-             generate_subscripts(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10) || chr(10), 'g'), chr(10) || chr(10)), 1) AS i
+WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?]|conditions:|met:)\\s+', '\\1' || chr(10) || chr(10), 'g'), chr(10) || chr(10))) AS s,
+             generate_subscripts(string_split(regexp_replace(text, '([.!?]|conditions:|met:)\\s+', '\\1' || chr(10) || chr(10), 'g'), chr(10) || chr(10)), 1) AS i
            FROM {documents} WHERE text IS NOT NULL),
 m AS (SELECT doc_id, i, s, ({known})[{norm('s')}] AS k FROM s),
 l AS (SELECT doc_id, i, 0 AS j, k FROM m WHERE k IS NOT NULL

@@ -14,10 +14,10 @@ Plan: the scan emits 16 bytes for each probe, not text; keys are shuffled and
 sorted once. Texts are fetched for lines that met another one only.
 
 Defined results: lines are ordered by document id, then line number; a line goes
-if an equal one, or one within TAU edits, comes first anywhere. Rows without id
-are left alone; rows that
-repeat an id and a text count as one document; null, empty and one-line texts are ordinary cases; the line kept is
-the earliest of all that match.
+if an equal one, or one within TAU edits, comes first anywhere, and the line kept
+is the earliest of all that match. Rows without id are left alone; rows that
+repeat an id and a text count as one document; null, empty and one-line texts are
+ordinary cases.
 """
 
 from __future__ import annotations
