@@ -70,7 +70,8 @@ def parse_lines(lines: DataFrame, now: int, *, limits: Limits | None = None, sig
             for seq, line in zip(batch["seq"], batch["line"], strict=True):
                 event, reason = one(line)
                 rows.append({"seq": seq, "reason": reason} | (event or {}))
-            yield pd.DataFrame(rows, columns=PARSED.fieldNames()).astype({"created_at": "Int64", "kind": "Int32"})
+            columns = {c: pd.Series([r.get(c) for r in rows], dtype=object) for c in PARSED.fieldNames()}
+            yield pd.DataFrame(columns).astype({"created_at": "Int64", "kind": "Int32"})
 
     return lines.select("seq", "line").mapInPandas(run, PARSED)
 
