@@ -25,13 +25,16 @@ document, put together, are its exact text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import strings
-from .textscan import buffers, chunks, lowered, words
+from .textscan import chunks, lowered, mix, words
 
 WINDOW, SHARD_BYTES, K1, B = 4096, 16 << 20, 1.2, 0.75
 #: So many oversized shards are looked up by a broadcast; more by a shuffled join.
@@ -41,43 +44,55 @@ PACKED = "shard_id bigint, window_no bigint, seed_doc_id bigint, doc_ids array<b
 TERMS = "__shard bigint, term bigint, n bigint, words bigint"
 
 
-def _tokens(column: pa.Array):
-    """(hashes, byte starts within the text, bounds) of the words of all texts."""
-    hashes, starts, counts = [], [], []
-    for _, _, data, offsets in chunks(lowered(strings(column))):
-        h, s, _, b = words(data, offsets)
-        hashes.append(h)
-        starts.append(s - np.repeat(offsets[:-1], np.diff(b)))
-        counts.append(np.diff(b))
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+def _runs(texts: pa.ChunkedArray, order: np.ndarray):
+    """(place, bytes, offsets) of runs of lower-cased texts, taken in ``order`` a few at a time."""
+    for at in range(0, len(order), 512):
+        some = lowered(strings(texts.take(pa.array(order[at : at + 512]))))
+        for first, _, data, offsets in chunks(some):
+            yield at + first, data, offsets
+
 
+def _pairs(texts: pa.ChunkedArray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(term hash, document, count) of each distinct pair, by document, and the documents' lengths in words.
 
-def postings(hashes: np.ndarray, bounds: np.ndarray):
-    """(terms, term, document, count), the last three by term, then document."""
-    terms, code = np.unique(hashes, return_inverse=True)
-    docs = len(bounds) - 1
-    key, count = np.unique(code * docs + np.repeat(np.arange(docs), np.diff(bounds)), return_counts=True)
-    return terms, key // docs, key % docs, count
+    Documents are numbered by ``order``. Works through the texts in small runs,
+    so that only distinct pairs are held.
+    """
+    parts, length = [], np.zeros(len(order), np.int64)
+    for first, data, offsets in _runs(texts, order):
+        hashes, _, _, bounds = words(data, offsets)
+        count = np.diff(bounds)
+        length[first : first + len(count)] = count
+        doc = np.repeat(np.arange(first, first + len(count), dtype=np.int32), count)
+        by = np.lexsort((hashes, doc))
+        hashes, doc = hashes[by], doc[by]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+        at = np.flatnonzero(new)
+        parts.append((hashes[at], doc[at], np.diff(np.append(at, len(doc))).astype(np.int32)))
+    joined = []
+    for k, kind in enumerate((np.uint64, np.int32, np.int32)):
+        joined.append(np.concatenate([np.zeros(0, kind), *[x[k] for x in parts]]))
+        parts = [tuple(None if j == k else v for j, v in enumerate(x)) for x in parts]
+    return *joined, length
 
 
 def _shard_terms(table: pa.Table) -> pa.Table:
     """How many documents of the shard have each term; the row without a term counts documents and words."""
     shard = table.column(0)[0].as_py()
-    hashes, _, bounds = _tokens(table.column(2))
-    terms, term, _, _ = postings(hashes, bounds)
-    n = np.bincount(term, minlength=len(terms))
-    full = int((np.diff(bounds) > 0).sum())
+    hashes, _, _, lengths = _pairs(table.column(2), np.arange(table.num_rows))
+    terms, n = np.unique(hashes, return_counts=True)
+    del hashes
+    full = int((lengths > 0).sum())
     return pa.table(
-        {"__shard": pa.array([shard] * (len(terms) + 1), pa.int64()), "term": pa.concat_arrays([pa.array(terms.view(np.int64)), pa.nulls(1, pa.int64())]), "n": pa.array(np.append(n, full)), "words": pa.array(np.append(np.zeros(len(n), np.int64), bounds[-1]))}
+        {"__shard": pa.array([shard] * (len(terms) + 1), pa.int64()), "term": pa.concat_arrays([pa.array(terms.view(np.int64)), pa.nulls(1, pa.int64())]), "n": pa.array(np.append(n, full)), "words": pa.array(np.append(np.zeros(len(n), np.int64), lengths.sum()))}
     )
 
 
 class ShardIndex:
     """BM25 weights of the terms that two or more documents share, for searches over unused documents.
 
-    Terms of many documents are rows of a matrix, the others are lists.
+    The arrays are sorted by term. Terms of many documents are rows of a matrix as well.
     """
 
     def __init__(self, size: int, term: np.ndarray, doc: np.ndarray, weight: np.ndarray):
@@ -89,16 +104,14 @@ class ShardIndex:
     def _build(self) -> None:
         n = len(self.alive)
         df = np.bincount(self.term, minlength=self.terms)
-        common = np.flatnonzero(df * 16 > n)
+        common = np.flatnonzero(df * 4 > n)
         self.row = np.full(self.terms, -1)
         self.row[common] = np.arange(len(common))
-        dense = self.row[self.term] >= 0
-        self.matrix = np.zeros((len(common), n))
-        self.matrix[self.row[self.term[dense]], self.doc[dense]] = self.weight[dense]
-        self.rare_doc, self.rare_weight = self.doc[~dense], self.weight[~dense]
-        df[common] = 0
-        self.ends = np.cumsum(df)
-        self.counts = df
+        self.ends, self.counts = np.cumsum(df), df
+        self.matrix = np.zeros((len(common), n), np.float32)
+        for k, t in enumerate(common):
+            own = slice(self.ends[t] - df[t], self.ends[t])
+            self.matrix[k, self.doc[own]] = self.weight[own]
 
     def shrink(self, used: np.ndarray) -> None:
         """Drop used documents from the lists."""
@@ -112,15 +125,15 @@ class ShardIndex:
     def scores(self, query: np.ndarray) -> np.ndarray:
         """Score of each document in ``alive`` for distinct terms."""
         row = self.row[query]
-        dense = np.zeros(len(self.matrix))
-        dense[row[row >= 0]] = 1
-        out = dense @ self.matrix
+        out = np.zeros(len(self.alive))
+        for k in row[row >= 0].tolist():
+            out += self.matrix[k]
         rare = query[row < 0]
         n = self.counts[rare]
         total = int(n.sum())
         if total:
             at = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.ends[rare] - n, n)
-            out = out + np.bincount(self.rare_doc[at], self.rare_weight[at], len(out))
+            out += np.bincount(self.doc[at], self.weight[at], len(out))
         return out
 
 
@@ -128,10 +141,14 @@ def bm25_weights(count: np.ndarray, length: np.ndarray, df: np.ndarray, docs: in
     return np.log1p((docs - df + 0.5) / (df + 0.5)) * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
 
 
-def pack_shard(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, df_terms: np.ndarray, df: np.ndarray, docs: int, mean: float, window: int):
-    """Windows of one shard, as lists of (document, first word, last word, score); documents come in order of id."""
-    length = np.diff(bounds)
-    terms, term, doc, count = postings(hashes, bounds)
+def pack_shard(ids: np.ndarray, pairs: list[np.ndarray], df_terms: np.ndarray, df: np.ndarray, docs: int, mean: float, window: int):
+    """Windows of one shard, as lists of (document, first word, last word, score); documents come in order of id.
+
+    ``pairs`` is what ``_pairs`` gives; it is emptied, to free memory early.
+    ``df_terms`` has every term of two or more of the documents, and ``df`` their document counts.
+    """
+    hashes, doc, count, length = pairs
+    pairs.clear()
     out = []
     for d in np.flatnonzero(length >= window):
         out += [[(int(d), k * window, (k + 1) * window, 0.0)] for k in range(int(length[d]) // window)]
@@ -139,16 +156,26 @@ def pack_shard(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, df_terms
     used = rest == 0
     if used.all():
         return out
-    local = np.bincount(term, minlength=len(terms))
-    shared = local > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[term]
-    term, doc, count = number[term[keep]], doc[keep], count[keep]
     order = np.argsort(df_terms)
-    known = df[order][np.searchsorted(df_terms[order], terms[shared].view(np.int64))] if shared.any() else np.zeros(0)
-    weight = bm25_weights(count, length[doc], known[term], docs, mean)
-    by = np.argsort(doc, kind="stable")
-    query_terms, query_ends = term[by], np.searchsorted(doc[by], np.arange(len(ids) + 1))
+    df_terms, df = df_terms[order], df[order]
+    if len(df_terms):
+        term, keep = np.empty(len(hashes), np.int32), np.empty(len(hashes), bool)
+        for at in range(0, len(hashes), 1 << 18):
+            part = slice(at, at + (1 << 18))
+            term[part] = np.minimum(np.searchsorted(df_terms, hashes[part]), len(df_terms) - 1)
+            keep[part] = df_terms[term[part]] == hashes[part]
+        term, doc, count = term[keep], doc[keep], count[keep]
+        del keep
+    else:
+        term, doc, count = (np.zeros(0, np.int32) for _ in range(3))
+    del hashes
+    query_terms, query_ends = term, np.searchsorted(doc, np.arange(len(ids) + 1))
+    by = np.argsort(term, kind="stable")
+    term, doc, count = term[by], doc[by], count[by]
+    weight = np.empty(len(term), np.float32)
+    for at in range(0, len(term), 1 << 18):
+        part = slice(at, at + (1 << 18))
+        weight[part] = bm25_weights(count[part], length[doc[part]], df[term[part]], docs, mean)
     index = ShardIndex(len(ids), term, doc, weight)
     index.shrink(used)
     left = len(index.alive)
@@ -183,24 +210,48 @@ def pack_shard(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, df_terms
     return out
 
 
+def _with_bucket(shards: int):
+    """Put the bucket before each row: the least hash of its words of 8 bytes and more, else the hash of its id."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            least = mix(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+            for first, _, data, offsets in chunks(lowered(strings(batch.column(1)))):
+                hashes, start, end, bounds = words(data, offsets)
+                long = end - start >= 8
+                ends = np.concatenate([[0], np.cumsum(long)])[bounds]
+                have = np.flatnonzero(np.diff(ends))
+                if len(have):
+                    least[first + have] = np.minimum.reduceat(hashes[long], ends[have])
+            bucket = (mix(least.copy()) % np.uint64(shards)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), batch.column(1)], names=["__bucket", "__id", "__text"])
+
+    return run
+
+
 def _packer(window: int):
     def run(texts: pa.Table, frequencies: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table({k: [] for k in ("shard_id", "window_no", "seed_doc_id", "doc_ids", "pieces", "n_words", "text")})
-        texts = texts.sort_by([("__id", "ascending"), ("__text", "ascending")])
-        shard, ids = texts.column("__shard")[0].as_py(), texts.column("__id").to_numpy()
-        raw = strings(texts.column("__text"))
-        hashes, starts, bounds = _tokens(raw)
+        shard = texts.column("__shard")[0].as_py()
+        order = pc.sort_indices(texts, [("__id", "ascending"), ("__text", "ascending")]).to_numpy()
+        ids, raw = texts.column("__id").to_numpy()[order], texts.column("__text")
+        pairs = list(_pairs(raw, order))
         whole = frequencies.column("term").is_null().to_numpy()
-        term, df = frequencies.column("term").fill_null(0).to_numpy()[~whole], frequencies.column("n").to_numpy()
+        term, df = frequencies.column("term").fill_null(0).to_numpy()[~whole].view(np.uint64), frequencies.column("n").to_numpy()
         docs, total = int(df[whole][0]), int(frequencies.column("words").to_numpy()[whole][0])
-        windows = pack_shard(ids, hashes, bounds, term, df[~whole], docs, total / max(1, docs), window)
-        data, offsets = buffers(raw)
+        length = pairs[3]
+        windows = pack_shard(ids, pairs, term, df[~whole], docs, total / max(1, docs), window)
+
+        def cut(d: int, first: int, last: int) -> bytes:
+            text = raw[int(order[d])].as_buffer().to_pybytes()
+            if first == 0 and last == length[d]:
+                return text
+            starts = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[1]
+            return text[0 if first == 0 else starts[first] : len(text) if last == length[d] else starts[last]]
 
-        def cut(d: int, first: int, last: int) -> str:
-            a = 0 if first == 0 else starts[bounds[d] + first]
-            b = offsets[d + 1] - offsets[d] if last == bounds[d + 1] - bounds[d] else starts[bounds[d] + last]
-            return data[offsets[d] + a : offsets[d] + b].tobytes().decode()
+        def joined(some: list) -> pa.Array:
+            return pa.array([b"\n\n".join(cut(*p[:3]) for p in w) for w in some], pa.binary()).cast(pa.string())
 
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("score", pa.float64())]))
         return pa.table(
@@ -211,7 +262,7 @@ def _packer(window: int):
                 "doc_ids": pa.array([[int(ids[p[0]]) for p in w] for w in windows], pa.list_(pa.int64())),
                 "pieces": pa.array([[{"doc_id": int(ids[d]), "first_word": a, "last_word": b, "score": s} for d, a, b, s in w] for w in windows], kind),
                 "n_words": pa.array([sum(p[2] - p[1] for p in w) for w in windows], pa.int64()),
-                "text": pa.array(["\n\n".join(cut(*p[:3]) for p in w) for w in windows], pa.string()),
+                "text": pa.chunked_array([joined(windows[k : k + 32]) for k in range(0, len(windows), 32)], pa.string()),
             }
         )
 
@@ -221,12 +272,9 @@ def _packer(window: int):
 def pack_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Windows (shard_id, window_no, seed_doc_id, doc_ids, pieces, n_words, text) of at most ``window`` words."""
     rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("__id"), F.col(f"`{text_column}`").alias("__text")).where(F.col("__text").isNotNull() & F.col("__id").isNotNull())
-    long = F.filter(F.split(F.lower("__text"), "[^\\p{L}\\p{N}]+"), lambda w: F.length(w) >= 8)
-    least = F.array_min(F.transform(long, lambda w: F.xxhash64(w)))
-    rows = rows.withColumn("__least", F.coalesce(least, F.xxhash64("__id")))
     size = docs.select(F.sum(F.octet_length(F.col(f"`{text_column}`")))).first()[0] or 0
     shards = max(1, -(-int(size) // shard_bytes))
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__least"), F.lit(shards)))
+    rows = rows.mapInArrow(_with_bucket(shards), "__bucket bigint, __id bigint, __text string")
     sizes = rows.groupBy(F.col("__bucket").alias("__full")).agg(F.sum(F.octet_length("__text")).alias("b")).where(F.col("b") > 2 * shard_bytes)
     split = sizes.select("__full", F.ceil(F.col("b") / F.lit(shard_bytes)).alias("__parts"))
     found = split.limit(BROADCAST_SHARDS + 1).collect()
