@@ -46,4 +46,10 @@ w AS (SELECT *, row_number() OVER o AS position,
 p AS (SELECT conv_id, turn, position, position - 1 AS n_context, context || '<|assistant|>' || chr(10) AS prompt, text || '<|end|>' || chr(10) AS completion FROM w WHERE role = 'assistant')
 SELECT conv_id, turn, position, n_context, prompt, completion, length(prompt) AS train_start, length(prompt) + length(completion) AS train_end FROM p"""
 
-ORACLES = {"op1_hilbert_sharding": hilbert(), "op3_warc_archive": WARC, "op7_prefix_targets": CHAT, "op8_licence_rules": licences.oracle()}
+#: Quadratic, so for small tables only.
+NEAR_VECTORS = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT b.vec_id, a.vec_id AS near_id, list_cosine_similarity(a.e, b.e) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95)
+SELECT vec_id, min(near_id) AS near_id, round(arg_min(cosine, near_id), 6) AS cosine FROM p GROUP BY vec_id"""
+
+ORACLES = {"op2_pca_near_vectors": NEAR_VECTORS, "op1_hilbert_sharding": hilbert(), "op3_warc_archive": WARC, "op7_prefix_targets": CHAT, "op8_licence_rules": licences.oracle()}
