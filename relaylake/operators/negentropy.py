@@ -132,6 +132,40 @@ def _between(a: tuple[int, bytes], b: tuple[int, bytes]) -> tuple[int, bytes]:
     return b[0], b[1][: same + 1]
 
 
+class Sessions:
+    """The reconciliations of one connection, by subscription name; each works on the snapshot of its opening.
+
+    Answers are (payload, "") or (None, reason); an error ends the session.
+    """
+
+    def __init__(self, max_records: int = 500_000, most: int = 20):
+        self.max_records, self.most, self.open_ = max_records, most, {}
+
+    def open(self, sub_id: str, items: DataFrame, payload: bytes) -> tuple[bytes | None, str]:
+        """Start over (created_at, id) rows, in place of an earlier session of that name."""
+        self.open_.pop(sub_id, None)
+        if len(self.open_) >= self.most:
+            return None, "too many subscriptions"
+        rows = items.select("created_at", "id").limit(self.max_records + 1).collect()
+        if len(rows) > self.max_records:
+            return None, "too many records for negentropy session"
+        self.open_[sub_id] = Session([(r.created_at, r.id) for r in rows])
+        return self.message(sub_id, payload)
+
+    def message(self, sub_id: str, payload: bytes) -> tuple[bytes | None, str]:
+        session = self.open_.get(sub_id)
+        if session is None:
+            return None, "session not found"
+        try:
+            return session.reconcile(payload), ""
+        except ValueError as e:
+            self.close(sub_id)
+            return None, str(e)
+
+    def close(self, sub_id: str) -> None:
+        self.open_.pop(sub_id, None)
+
+
 class _Writer:
     def __init__(self) -> None:
         self.body, self.last, self.pending = b"", 0, None

@@ -305,6 +305,24 @@ def test_reconciliation(spark):
     assert query.over_cap(a, 499) and not query.over_cap(a, 500)
 
 
+def test_sessions_of_a_connection(spark):
+    rows = spark.createDataFrame([(k, f"{k:064x}") for k in range(5)], "created_at bigint, id string")
+    first = negentropy.Session([(9, "ff" * 32)], initiator=True).initiate()
+    some = negentropy.Sessions(max_records=5, most=1)
+    assert some.message("s", first) == (None, "session not found")
+    payload, reason = some.open("s", rows, first)
+    assert payload and not reason and some.open("t", rows, first) == (None, "too many subscriptions")
+    assert some.message("s", b"\x10") == (None, "unsupported negentropy protocol version") and some.message("s", first)[1] == "session not found"
+    assert negentropy.Sessions(max_records=4).open("s", rows, first) == (None, "too many records for negentropy session")
+
+
+def test_requests_beyond_the_limits():
+    m = protocol.parse_message('["REQ","s",{},{},{}]')
+    assert protocol.refuse_request(m, {"s"}, Limits(max_subscriptions=1)) == ""
+    assert protocol.refuse_request(m, {"t"}, Limits(max_subscriptions=1)) == "too many subscriptions"
+    assert protocol.refuse_request(m, set(), Limits(max_filters=2)) == "too many filters"
+
+
 def test_limits_from_the_environment():
     got = Limits.from_env({"RELAY_MAX_LIMIT": "7", "RELAY_MAX_FILTERS": "x", "RELAY_MAX_SUBID_LENGTH": "900", "RELAY_CONTENT_BYTES_BY_KIND": "1:5,30001:9"})
     assert (got.max_limit, got.max_filters, got.max_subid_length, got.content_limit(30001), got.content_limit(2)) == (7, 10, 64, 9, 51_200)
