@@ -61,7 +61,7 @@ _kept: dict[tuple[str, str, str, bool], DataFrame] = {}
 
 
 def _keep(spark: SparkSession, sf_dir: str, name: str, extended: bool, make) -> DataFrame:
-    """One cached copy per session, folder and kind of table: nearly all queries read the same three."""
+    """One cached copy per session, folder and kind of table: nearly all queries read the same few."""
     key = (spark.sparkContext.applicationId, sf_dir, name, extended)
     if key not in _kept:
         _kept[key] = make().cache()
@@ -74,7 +74,8 @@ def log(spark: SparkSession, sf_dir: str, *, extended: bool = False) -> DataFram
 
 
 def stored(spark: SparkSession, sf_dir: str, *, extended: bool = False) -> DataFrame:
-    return accepted(log(spark, sf_dir, extended=extended))
+    """The accepted log."""
+    return _keep(spark, sf_dir, "stored", extended, lambda: accepted(log(spark, sf_dir, extended=extended)))
 
 
 def seen(spark: SparkSession, sf_dir: str, *, extended: bool = False) -> DataFrame:
