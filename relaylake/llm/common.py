@@ -60,6 +60,13 @@ def replace_columns(df: DataFrame, **columns) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone], *[v.alias(k) for k, v in columns.items()])
 
 
+def text_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Keep Arrow batches of whole texts small: at most ``rows`` rows, in this session from here on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One Arrow string array with 64-bit offsets and no nulls (a null becomes empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, strings
+from .common import materialise, strings, text_batches
 from .textscan import chunks, lowered, mix, prefix, range_hash
 
 TAU, LEAST = 2, 80
@@ -287,6 +287,7 @@ def repeated_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     Line numbers count from 0 at line feeds. The kept line is the earliest that
     is equal or within ``tau`` edits.
     """
+    text_batches(docs.sparkSession)
     docs = docs.where(F.col(f"`{id_column}`").isNotNull())
     rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc"), F.col(f"`{text_column}`").alias("text"))
     found = materialise(rows.mapInArrow(_occurrences(least), "h bigint, doc bigint, line bigint"))

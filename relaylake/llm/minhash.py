@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, strings
+from .common import materialise, strings, text_batches
 from .components import components
 from .textscan import chunks, lowered, mix, shingles, words
 
@@ -173,6 +173,7 @@ def estimate(a: Column, b: Column) -> Column:
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, keep_id, similarity): each document to remove, the one kept of its group, and their estimated similarity."""
+    text_batches(docs.sparkSession)
     signed = materialise(signatures(docs, id_column, text_column))
     firsts = materialise(signed.groupBy("whole").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     same = signed.join(firsts.select("whole", F.col("id").alias("first")), "whole").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import strings, text_batches
 from .textscan import chunks, lowered, mix, words
 
 WINDOW, SHARD_BYTES, K1, B = 4096, 16 << 20, 1.2, 0.75
@@ -233,6 +233,7 @@ def _packer(window: int):
     def run(texts: pa.Table, frequencies: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table({k: [] for k in ("shard_id", "window_no", "seed_doc_id", "doc_ids", "pieces", "n_words", "text")})
+        pa.default_memory_pool().release_unused()
         shard = texts.column("__shard")[0].as_py()
         order = pc.sort_indices(texts, [("__id", "ascending"), ("__text", "ascending")]).to_numpy()
         ids, raw = texts.column("__id").to_numpy()[order], texts.column("__text")
@@ -271,6 +272,7 @@ def _packer(window: int):
 
 def pack_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Windows (shard_id, window_no, seed_doc_id, doc_ids, pieces, n_words, text) of at most ``window`` words."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("__id"), F.col(f"`{text_column}`").alias("__text")).where(F.col("__text").isNotNull() & F.col("__id").isNotNull())
     size = docs.select(F.sum(F.octet_length(F.col(f"`{text_column}`")))).first()[0] or 0
     shards = max(1, -(-int(size) // shard_bytes))

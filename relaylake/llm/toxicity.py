@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import strings
+from .common import strings, text_batches
 from .textscan import WORD_BYTES, buffers, chunks, lowered, prefix, range_hash, words
 
 #: The bound of the labelled sample that the classifier is fitted on.
@@ -98,16 +98,20 @@ def swapped(sentence: str) -> str:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (toxic, features, twin): labelled texts, and with ``twin`` pairs of sentences."""
     for batch in batches:
-        texts, labels = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-        texts = [t or "" for t in texts]
-        rows = [(label, f, None) for label, f in zip(labels, distinct_features(texts), strict=True)]
-        for text in texts:
-            if _TERM.search(text):
-                said = [s for s in _SENTENCE.split(text) if _TERM.search(s)]
-                both = distinct_features([*said, *map(swapped, said)])
-                rows += [(0, a, b) for a, b in zip(both[: len(said)], both[len(said) :], strict=True)]
-        kinds = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], kinds), pa.array([r[2] for r in rows], kinds)], names=["toxic", "features", "twin"])
+        for at in range(0, batch.num_rows, 128):
+            yield _labelled(batch.slice(at, 128))
+
+
+def _labelled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    texts, labels = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
+    rows = [(label, f, None) for label, f in zip(labels, distinct_features(texts), strict=True)]
+    for text in texts:
+        if _TERM.search(text):
+            said = [s for s in _SENTENCE.split(text) if _TERM.search(s)]
+            both = distinct_features([*said, *map(swapped, said)])
+            rows += [(0, a, b) for a, b in zip(both[: len(said)], both[len(said) :], strict=True)]
+    kinds = pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], kinds), pa.array([r[2] for r in rows], kinds)], names=["toxic", "features", "twin"])
 
 
 def fit(labels: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], *, l1: float = 2e-4, fairness: float = 1.0, steps: int = 300) -> Model:
@@ -117,7 +121,7 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[np.ndarray
     if not toxic.any() or toxic.all():
         return none
     feature = np.concatenate(rows)
-    text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    text = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     size = 1 << DIM_BITS
     p, n = np.bincount(feature[toxic[text]], minlength=size), np.bincount(feature[~toxic[text]], minlength=size)
     many, few = toxic.sum(), (~toxic).sum()
@@ -125,7 +129,7 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[np.ndarray
     z = np.where(p + n >= 3, np.abs(odds) / np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5) + 1 / (many - p + 0.5) + 1 / (few - n + 0.5)), 0)
     chosen = np.sort(np.lexsort((np.arange(size), -z))[:SELECTED])
     chosen = chosen[z[chosen] > 0]
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     keep = place[feature] >= 0
     text, feature = text[keep], place[feature[keep]]
@@ -165,9 +169,9 @@ def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     labels, rows, pairs = [], [], []
     for batch in batches:
         for toxic, features, twin in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            mine = features.values.to_numpy()
+            mine = features.values.to_numpy().astype(np.int32)
             if twin.is_valid:
-                pairs.append((mine, twin.values.to_numpy()))
+                pairs.append((mine, twin.values.to_numpy().astype(np.int32)))
             else:
                 labels.append(toxic)
                 rows.append(mine)
@@ -178,6 +182,7 @@ def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_id: str = "doc_id", label_column: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on the first ``max_labelled`` labels in order of a hash of their id."""
+    text_batches(docs.sparkSession)
     key, label = F.col(f"`{label_id}`").cast("bigint"), F.col(f"`{label_column}`").cast("int")
     sample = labels.where(key.isNotNull() & label.isNotNull()).select(key.alias("k"), label.alias("toxic")).orderBy(F.xxhash64("k"), "k", "toxic").limit(max_labelled)
     rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("k"), F.col(f"`{text_column}`").alias("text")).join(F.broadcast(sample), "k")
