@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, strings
+from .common import free_name, strings, text_batches
 from .textscan import buffers, chunks, lowered, words
 
 SHARD_WORDS = 1_000_000
@@ -261,6 +261,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_column: st
     Only texts with a match are returned, or with ``only_hits=False`` all of them.
     Input columns that are called like an added one are replaced.
     """
+    text_batches(docs.sparkSession)
     gone = ("item_ids", "spans", "clean_text")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in gone])
     names, hidden = list(docs.columns), free_name(docs, "__found")
@@ -271,9 +272,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_column: st
     for k, lot in enumerate(lots):
         phrases = spark.sparkContext.broadcast(phrase_windows(lot, window, least))
         schema = T.StructType([*[f for f in docs.schema.fields if f.name != hidden], T.StructField(hidden, found_type)])
-        docs = docs.mapInArrow(_searcher(phrases, at, len(names), k > 0, only_hits and len(lots) == 1), schema)
+        search = _searcher(phrases, at, len(names), k > 0, only_hits and len(lots) == 1)
+        if k + 1 < len(lots):
+            docs = docs.mapInArrow(search, schema)
     fields = T.StructType([*[f for f in docs.schema.fields if f.name != hidden], T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("clean_text", T.StringType())])
-    return docs.mapInArrow(_cutter(at, len(names), only_hits), fields)
+    cut = _cutter(at, len(names), only_hits)
+    # The last search and the cut share a worker.
+    return docs.mapInArrow(lambda batches: cut(search(batches)), fields)
 
 
 def _searcher(phrases, at: int, width: int, again: bool, only_hits: bool):
