@@ -7,8 +7,8 @@ less with the substrings that the multi-match-aware rule leaves. Pairs that meet
 are verified by a banded bit-parallel edit distance.
 
 Lines are compared as UTF-8 bytes, lower-cased and without white space at either
-end; lines of fewer than LEAST bytes are never touched, since headings, notices
-and other short lines repeat by nature.
+end; lines of fewer than LEAST bytes are never touched, since their segments would
+be of less than 4 bytes.
 
 Plan: the scan emits 16 bytes for each probe, not text; keys are shuffled and
 sorted once. Texts are fetched for lines that met another one only.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialise, strings, text_batches
 from .textscan import chunks, lowered, mix, prefix, range_hash
 
-TAU, LEAST = 2, 80
+TAU, LEAST = 2, 12
 #: Candidate lines up to this number are looked up by a broadcast; more by a shuffled join.
 BROADCAST_LINES = 4_000_000
 

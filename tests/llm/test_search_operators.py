@@ -189,6 +189,15 @@ def test_line_dedup_rewrites(spark):
     assert kept.columns == frame(spark, [], clash=True).columns and kept.count() == 11
 
 
+def test_short_lines_that_repeat_go(spark):
+    notice, other = "Share this page with a friend", "All rights are reserved."
+    rows = [(1, f"{notice}\nfirst text\n{other}"), (2, f"{notice}\n{other}"), (3, f"{notice.upper()}!\nthird text stays")]
+    got = {(r.doc_id, r.line_no, r.kept_doc_id, r.kept_line_no, r.distance) for r in linededup.repeated_lines(frame(spark, rows)).collect()}
+    assert got == {(2, 0, 1, 0, 0), (2, 1, 1, 2, 0), (3, 0, 1, 0, 1)}
+    # A later exact copy goes whole; no fragment of its short lines is left.
+    assert {r.doc_id: r.text for r in linededup.without_repeated_lines(frame(spark, rows)).collect()} == {1: rows[0][1], 3: "third text stays"}
+
+
 def test_suffix_array_and_search_equal_naive():
     rng = random.Random(11)
     texts = [[rng.randrange(4) for _ in range(rng.randrange(40))] for _ in range(30)] + [[1] * 50, [1] * 50, []]
