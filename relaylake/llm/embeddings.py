@@ -15,8 +15,9 @@ only tiles of blocks that lie near each other move, once for each such pair.
 Defined results: null vectors, empty ones, ones with a null, infinite or NaN
 entry or without length, and ones of another dimension than most have no match;
 of vectors that are equal bit by bit one is compared and the others refer to the
-smallest id; an empty table gives no rows. A row means: of the vectors within
-the threshold of ``vec_id`` that have a smaller id, ``near_id`` is the smallest.
+smallest id; an empty table gives no rows. A row of ``near_vectors`` means: of the
+vectors within the threshold of ``vec_id`` that have a smaller id, ``near_id`` is
+the smallest; other pairs are not in it. ``vector_pairs`` has a row for every pair.
 """
 
 from __future__ import annotations
@@ -158,8 +159,8 @@ def tile_matches(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.nda
     return i[stay], j[stay], exact[stay]
 
 
-def _compare(dims: int, threshold: float):
-    """For each vector of a pair of blocks, the smallest matching id below its own."""
+def _compare(dims: int, threshold: float, every: bool):
+    """For each vector of a pair of blocks, the smallest matching id below its own, or ``every`` one."""
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         ids = [np.frombuffer(x, "<i8") for x in table.column("ids").to_pylist()]
@@ -182,19 +183,20 @@ def _compare(dims: int, threshold: float):
         order = order[late[order] != early[order]]
         late, early, cosine = late[order], early[order], cosine[order]
         first = np.ones(len(late), bool)
-        first[1:] = late[1:] != late[:-1]
+        # A tile against itself gives each pair twice.
+        first[1:] = (late[1:] != late[:-1]) | (every & (early[1:] != early[:-1]))
         return pa.table({"id": pa.array(late[first], pa.int64()), "near": pa.array(early[first], pa.int64()), "cosine": pa.array(cosine[first], pa.float64())})
 
     return run
 
 
-def near_vectors(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, near_id, cosine): for each vector the smallest-id vector within the threshold before it."""
+def _matches(vectors: DataFrame, id_column: str, vector_column: str, threshold: float, every: bool) -> tuple[DataFrame, DataFrame]:
+    """((id, near, cosine) of distinct vectors, (id, first) of all vectors that stand for themselves or are copies)."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{vector_column}`").cast("array<double>").alias("v")).where("id is not null and v is not null")
     most = rows.groupBy(F.size("v").alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").first()
     if most is None:
-        return spark.createDataFrame([], "vec_id bigint, near_id bigint, cosine double")
+        return spark.createDataFrame([], "id bigint, near bigint, cosine double"), spark.createDataFrame([], "id bigint, first bigint")
     dims = most.d
     axes = principal_axes(rows, "v", dims) if dims > 2 else np.eye(dims)
     wide = rows if dims > 2 else rows.withColumn("v", F.concat("v", F.array(*[F.lit(0.0)] * (3 - dims))))
@@ -204,7 +206,6 @@ def near_vectors(vectors: DataFrame, *, id_column: str = "vec_id", vector_column
     placed = one.mapInArrow(_project(axes), "id bigint, v binary, p0 double, p1 double, p2 double")
     # Equal vectors: one stands for all, so that a group of copies costs one comparison each.
     firsts = materialise(placed.withColumn("first", F.min("id").over(Window.partitionBy("v"))))
-    copies = firsts.where("id != first").select("id", "first")
     ordered = firsts.where("id = first").repartitionByRange("p0", "p1", "p2")
     names = _ends(dims)
     tiles = materialise(ordered.select("id", "v").mapInArrow(_tiles(dims), "block bigint, ids binary, vectors binary, " + ", ".join(f"{c} double" for c in names)))
@@ -216,9 +217,30 @@ def near_vectors(vectors: DataFrame, *, id_column: str = "vec_id", vector_column
     pairs = near_boxes.select(F.col("l.block").alias("x"), F.col("r.block").alias("y"))
     blocks = tiles.select("block", "ids", "vectors")
     sides = pairs.join(blocks, F.col("x") == F.col("block")).withColumn("side", F.lit(0)).unionAll(pairs.where("x != y").join(blocks, F.col("y") == F.col("block")).withColumn("side", F.lit(1)))
-    found = sides.select("x", "y", "side", "ids", "vectors").groupBy("x", "y").applyInArrow(_compare(dims, threshold), "id bigint, near bigint, cosine double")
+    found = sides.select("x", "y", "side", "ids", "vectors").groupBy("x", "y").applyInArrow(_compare(dims, threshold, every), "id bigint, near bigint, cosine double")
+    return found, firsts.select("id", "first")
+
+
+def near_vectors(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+    """(vec_id, near_id, cosine): for each vector the smallest-id vector within the threshold before it."""
+    found, members = _matches(vectors, id_column, vector_column, threshold, every=False)
+    copies = members.where("id != first")
     near = found.groupBy("id").agg(F.min(F.struct("near", "cosine")).alias("m")).select("id", "m.near", "m.cosine")
     # A copy is nearest to its first, or to what comes before that.
     of_copies = copies.join(near.select(F.col("id").alias("first"), "near", "cosine"), "first", "left").select("id", F.coalesce("near", "first").alias("near"), F.coalesce("cosine", F.lit(1.0)).alias("cosine"))
     # What refers to a first may have copies before it only if the first itself is before it, so firsts suffice.
     return near.unionAll(of_copies).select(F.col("id").alias("vec_id"), F.col("near").alias("near_id"), F.round("cosine", 6).alias("cosine"))
+
+
+def vector_pairs(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+    """(vec_id, near_id, cosine): every pair of vectors within the threshold, ``near_id`` being the smaller id.
+
+    Each copy has the pairs of its first, and one with each other copy, so the
+    rows are as many as the pairs; ``components`` makes groups of them.
+    """
+    found, members = _matches(vectors, id_column, vector_column, threshold, every=True)
+    # A pair of blocks meets once, so a pair of firsts does too.
+    a, b = members.select(F.col("id").alias("a"), F.col("first").alias("id")), members.select(F.col("id").alias("b"), F.col("first").alias("near"))
+    apart = found.join(a, "id").join(b, "near").select("a", "b", "cosine")
+    alike = a.join(b, (F.col("id") == F.col("near")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit(1.0).alias("cosine"))
+    return apart.unionAll(alike).select(F.greatest("a", "b").alias("vec_id"), F.least("a", "b").alias("near_id"), F.round("cosine", 6).alias("cosine"))

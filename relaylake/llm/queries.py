@@ -70,4 +70,10 @@ def op2_pca_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_warc_archive, op7_prefix_targets, op8_licence_rules, op10_fm_decontamination, op4_bbit_minhash, op9_counterfactual_toxicity, op5_edit_line_dedup, op6_bm25_packing, op2_pca_near_vectors)}
+def op2_pca_vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import vector_pairs
+
+    return vector_pairs(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_warc_archive, op7_prefix_targets, op8_licence_rules, op10_fm_decontamination, op4_bbit_minhash, op9_counterfactual_toxicity, op5_edit_line_dedup, op6_bm25_packing, op2_pca_near_vectors, op2_pca_vector_pairs)}

@@ -59,6 +59,26 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, tile):
     assert {(r.vec_id, r.near_id) for r in embeddings.near_vectors(vectors(spark, rows)).collect()} == plain_near(rows, 0.95)
 
 
+@pytest.mark.parametrize("tile", [7, 1024])
+def test_vector_pairs_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(embeddings, "TILE", tile)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 24))
+    x = np.concatenate([base, base[:20] + 0.15 * rng.normal(size=(20, 24)), base[:20] - 0.15 * rng.normal(size=(20, 24)), base[:5], base[:5], 3 * base[:3]])
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = sorted((b, a) for b in range(len(x)) for a in range(b) if unit[a] @ unit[b] >= 0.95)
+    assert len(want) > 60 and sorted((r.vec_id, r.near_id) for r in embeddings.vector_pairs(vectors(spark, rows)).collect()) == want
+
+
+def test_a_hub_has_all_its_pairs(spark):
+    turned = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees)), 0.0]
+    rows = [(1, turned(0)), (2, turned(30)), (3, turned(15))]
+    assert {(r.vec_id, r.near_id) for r in embeddings.vector_pairs(vectors(spark, rows)).collect()} == {(3, 1), (3, 2)}
+    assert embeddings.vector_pairs(vectors(spark, [])).collect() == []
+
+
 def test_near_vectors_of_awkward_rows(spark):
     v = [1.0, 2.0, 3.0, 4.0]
     rows = [(1, v), (2, v), (2, v), (3, None), (4, []), (5, [0.0] * 4), (6, [float("nan")] * 4), (7, [1.0, 2.0]), (None, v), (8, [float("inf"), 1.0, 1.0, 1.0]), (9, [-1.0, 5.0, 0.0, 0.0])]
