@@ -39,7 +39,18 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the files of a table of ``materialise`` that nothing reads any more."""
+    path = getattr(df, "_written_to", None)
+    if path is not None:
+        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,11 +71,17 @@ def replace_columns(df: DataFrame, **columns) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone], *[v.alias(k) for k, v in columns.items()])
 
 
-def text_batches(spark: SparkSession, rows: int = 2048) -> None:
-    """Keep Arrow batches of whole texts small: at most ``rows`` rows, in this session from here on."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def text_batches(spark: SparkSession, rows: int = 2048, size: int = 8 << 20) -> None:
+    """Keep Arrow batches of whole texts small: at most ``rows`` rows and about ``size`` bytes.
+
+    Plans run after the operator has returned, so the two settings stay in the session;
+    smaller ones that are set already are kept. One row is never cut.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        have = spark.conf.get(name)
+        if not have.lstrip("-").isdigit() or not 0 < int(have) <= most:
+            spark.conf.set(name, str(most))
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -4,12 +4,15 @@ A text is handled as UTF-8 bytes. A word is a maximal run of ASCII letters and
 digits and of non-ASCII characters; the callers lower-case in the JVM first.
 Hashes of byte ranges are polynomial over 64-bit integers, taken from prefix
 sums, so that any number of ranges costs a constant number of numpy operations
-each; a final mixing step spreads them over all bits.
+each; a final mixing step spreads them over all bits. Polynomials modulo 2**64 have
+structured collisions (Thue-Morse strings, of any base), so words of STRONG bytes
+and more are hashed by BLAKE2b instead, and lines are told apart by its 128-bit form.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,8 @@ import pyarrow.compute as pc
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK_BYTES = 1 << 20
+#: Longer ranges than a structured collision of the polynomial needs; below 128 bytes its low 35 bits at most agree by structure.
+STRONG = 128
 
 WORD_BYTES = np.zeros(256, np.uint8)
 for _b in [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]:
@@ -95,7 +100,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[edge] = inside[edge + 1]
     last[edge - 1] = inside[edge]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return range_hash(prefix(kept), start, end), start, end, np.searchsorted(start, offsets)
+    hashes = range_hash(prefix(kept), start, end)
+    for i in np.flatnonzero(end - start >= STRONG).tolist():
+        hashes[i] = int.from_bytes(blake2b(kept[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return hashes, start, end, np.searchsorted(start, offsets)
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(ranges, 2) 64-bit halves of the 128-bit BLAKE2b digest of each byte range."""
+    raw = data.tobytes()
+    made = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(made, np.int64).reshape(-1, 2)
 
 
 def lowered(column: pa.Array) -> pa.Array:
