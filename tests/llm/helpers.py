@@ -3,7 +3,8 @@ import re
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that the operators use for results or inside.
-CLASH = {"shard_id": "1", "hilbert_index": "2", "similarity": "3", "keep_id": "4", "toxicity": "5", "spans": "6", "item_ids": "7", "clean_text": "8", "line_no": "9", "id": "10", "a": "11", "b": "12", "key": "13", "h": "14", "term": "15", "n": "16", "c": "17"}
+CLASH = {"shard_id": "1", "hilbert_index": "2", "similarity": "3", "keep_id": "4", "toxicity": "5", "spans": "6", "item_ids": "7", "clean_text": "8", "line_no": "9", "id": "10", "a": "11", "b": "12", "key": "13", "h": "14", "term": "15", "n": "16", "c": "17", "text_key": "18", "root": "19", "node": "20", "x": "21", "lo": "22", "hi": "23", "licences": "24", "sentence_ids": "25", "ss": "26"}
+CLASH |= {f"__{name}": str(30 + k) for k, name in enumerate("run gone doc text old toxicity found key cut short split row bucket id shard full parts index coarse bytes offset cell0 key0 sub seed score own".split())}
 
 
 def words_of(text):

@@ -10,6 +10,7 @@ import pytest
 from helpers import awkward, frame, prose, words_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as fn
 
 from relaylake.llm import components, embeddings, fmindex, linededup, minhash, packing, textscan
 from relaylake.llm.common import strings
@@ -126,9 +127,74 @@ def test_minhash_groups(spark):
 def test_minhash_of_awkward_rows(spark):
     rows = minhash.near_duplicates(frame(spark, awkward(random.Random(7)), clash=True)).collect()
     assert {(r.doc_id, r.keep_id) for r in rows} == {(2, 1), (9, 6)} and all(r.similarity == 1 for r in rows)
+    left = minhash.without_near_duplicates(frame(spark, awkward(random.Random(7)), clash=True))
+    assert left.columns == frame(spark, [], clash=True).columns
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in left.collect()) == [-1, 1, 3, 4, 5, 6, 7, 8]
     assert minhash.near_duplicates(frame(spark, [])).collect() == []
 
 
+def plain_groups(rows, threshold):
+    """Groups by the Jaccard similarity of all pairs of texts: {row: least row of its group}."""
+    sets = {}
+    for i, t in rows:
+        w = words_of(t)
+        if i is not None and w:
+            sets[i, t] = set(zip(w, w[1:], w[2:])) if len(w) > 2 else {tuple(w)}
+    nodes = sorted(sets)
+    root = {n: n for n in nodes}
+
+    def up(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for k, a in enumerate(nodes):
+        for b in nodes[:k]:
+            if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                x, y = sorted((up(a), up(b)))
+                root[y] = x
+    return {n: up(n) for n in nodes if up(n) != n}
+
+
+@pytest.mark.parametrize("bucket", [1 << 18, 4])
+def test_minhash_groups_equal_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(minhash, "BUCKET", bucket)
+    rng = random.Random(61)
+    rows = []
+    for g in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        for c in range(rng.choice([1, 2, 3, 12])):
+            # Similarities of at least 0.8 with the base, or near 0: the estimate is certain there.
+            mine = list(base)
+            for _ in range(rng.randrange(4)):
+                mine[rng.randrange(150)] = f"z{rng.randrange(10**6)}"
+            rows.append((rng.randrange(40), " ".join(mine)))
+    rows += [rows[3], rows[3], (rows[5][0], rows[9][1]), (None, rows[0][1]), (7, "")]
+    df = frame(spark, rows, clash=True)
+    want = plain_groups(rows, 0.5)
+    got = minhash.near_duplicates(df).collect()
+    texts = {(r.doc_id, r.k): r.text for r in df.select("doc_id", fn.xxhash64("text").alias("k"), "text").collect()}
+    name = lambda i, k: (i, texts[i, k])
+    groups = {}
+    for n, r in want.items():
+        groups.setdefault(r, set()).add(n)
+    mine = {}
+    for r in got:
+        mine.setdefault(name(r.keep_id, r.keep_text_key), set()).add(name(r.doc_id, r.text_key))
+    assert len(got) == len(want) and {frozenset(v | {k}) for k, v in mine.items()} == {frozenset(v | {k}) for k, v in groups.items()}
+    assert all(k[0] == min(n[0] for n in v | {k}) for k, v in mine.items())
+    left = [(r.doc_id, r.text) for r in minhash.without_near_duplicates(df).collect()]
+    assert len(left) == len(set(left)) and len(left) == len({(i, t) for i, t in rows}) - len(want)
+
+
+def test_rows_of_one_id_with_other_texts_are_members_of_their_own(spark):
+    rng = random.Random(62)
+    one, two, three = (prose(rng, 80, 4000) for _ in range(3))
+    rows = [(1, one), (2, two), (2, one), (3, three), (3, two)]
+    assert {(r.doc_id, r.keep_id) for r in minhash.near_duplicates(frame(spark, rows)).collect()} == {(2, 1), (3, 2)}
+    assert sorted((r.doc_id, r.text) for r in minhash.without_near_duplicates(frame(spark, rows)).collect()) == sorted([(1, one), (2, two), (3, three)])
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (3, 4), (9, 8), (7, 7), (None, 3), *[(100 + i, 101 + i) for i in range(40)]]
     got = {(r.node, r.root) for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
@@ -153,33 +219,36 @@ def test_banded_distance(a, b, tau):
 
 
 def plain_repeated(rows, tau, least):
-    first = {}
-    for doc, text in sorted({r[:2] for r in rows if r[0] is not None and r[1] is not None}):
+    """By hand: in order of place, a line stays unless an equal or near one before it stays. (doc, text, line) name a place."""
+    from relaylake.llm.linededup import text_key
+
+    texts = sorted({r[:2] for r in rows if r[0] is not None and r[1] is not None})
+    spark = __import__("pyspark").sql.SparkSession.getActiveSession()
+    keys = {r.t: r.k for r in spark.createDataFrame([(t,) for _, t in texts], "t string").select("t", text_key(fn.col("t")).alias("k")).collect()}
+    first, places = {}, []
+    for doc, key, text in sorted((i, keys[t], t) for i, t in texts):
         for n, line in enumerate(text.lower().split("\n")):
             line = line.strip().encode()
             if len(line) >= least:
-                first.setdefault(line, (doc, n))
-    order = sorted(first.items(), key=lambda x: x[1])
-    near = {}
-    for k, (line, _) in enumerate(order):
-        for other, at in order[:k]:
+                first.setdefault(line, (doc, key, n))
+                places.append(((doc, key, n), line))
+    order, near, stay = sorted(first.items(), key=lambda x: x[1]), {}, []
+    for line, _ in order:
+        for other in stay:
             d = edits(line, other) if abs(len(line) - len(other)) <= tau else tau + 1
             if d <= tau:
-                near[line] = (at, d)
+                near[line] = (first[other], d)
                 break
-    out = set()
-    for doc, text in {r[:2] for r in rows if r[0] is not None and r[1] is not None}:
-        for n, line in enumerate(text.lower().split("\n")):
-            line = line.strip().encode()
-            if len(line) >= least and (line in near or first[line] != (doc, n)):
-                kept, d = near.get(line, (first[line], 0))
-                out.add((doc, n, *kept, d))
-    return out
+        else:
+            stay.append(line)
+    return {(*at, *near.get(line, (first[line], 0))[0], near.get(line, (None, 0))[1]) for at, line in places if line in near or first[line] != at}
 
 
-@pytest.mark.parametrize("broadcast", [4_000_000, 0])
-def test_repeated_lines_equal_brute_force(spark, monkeypatch, broadcast):
+@pytest.mark.parametrize(("broadcast", "hot"), [(2_000_000, 128), (0, 1), (2_000_000, 0)])
+def test_repeated_lines_equal_brute_force(spark, monkeypatch, broadcast, hot):
     monkeypatch.setattr(linededup, "BROADCAST_LINES", broadcast)
+    monkeypatch.setattr(linededup, "HOT", hot)
+    monkeypatch.setattr(linededup, "HELD", 4 if hot == 0 else 1 << 16)
     rng = random.Random(8)
     pool = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(10, 60))) for _ in range(30)]
     rows = []
@@ -191,10 +260,51 @@ def test_repeated_lines_equal_brute_force(spark, monkeypatch, broadcast):
                 k = rng.randrange(len(line))
                 line[k : k + rng.randrange(2)] = rng.choice(["x", "", "yé"])
             text.append("".join(line).upper() if rng.random() < 0.2 else "".join(line))
-        rows.append((i, "\n".join(text)))
+        rows.append((i // 2 if i % 7 == 0 else i, "\n".join(text)))
     rows += [rows[3], (None, rows[4][1]), (99, None), (98, ""), (97, "\n\n")]
-    got = {tuple(r) for r in linededup.repeated_lines(frame(spark, rows, clash=True), least=12).collect()}
-    assert got == plain_repeated(rows, linededup.TAU, 12)
+    got = {tuple(r) for r in linededup.repeated_lines(frame(spark, rows, clash=True)).collect()}
+    want = plain_repeated(rows, linededup.TAU, linededup.LEAST)
+    assert len(want) > 40 and got == want
+
+
+def test_a_chain_of_near_lines_keeps_every_other_one(spark):
+    a = "the quick brown fox jumps over it"
+    chain = [a, a[:-2] + "XX", "YY" + a[2:-2] + "XX", "YYZZ" + a[4:-2] + "XX", "YYZZQQ" + a[6:-2] + "XX"]
+    rows = [(k, line) for k, line in enumerate(chain)]
+    got = {(r.doc_id, r.kept_doc_id) for r in linededup.repeated_lines(frame(spark, rows)).collect()}
+    assert got == {(1, 0), (3, 2)}
+    assert {r.doc_id for r in linededup.without_repeated_lines(frame(spark, rows)).collect()} == {0, 2, 4}
+
+
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    shared, own = "this line stands in two documents", "this other line stands in only one of them all"
+    rows = [(1, f"{shared}\nfirst"), (2, f"{shared}\nsecond"), (2, f"{own}\nthird")]
+    assert {r.text for r in linededup.without_repeated_lines(frame(spark, rows)).collect()} == {rows[0][1], "second", rows[2][1]}
+
+
+def thue_morse(a, b, n=11):
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_lines_and_words_with_colliding_polynomials_are_told_apart(spark):
+    x, y = thue_morse("a", "b")
+    data = np.frombuffer((x + y).encode(), np.uint8)
+    at = np.array([0, len(x)])
+    assert len(set(textscan.range_hash(textscan.prefix(data), at, at + len(x)).tolist())) == 1
+    assert linededup.repeated_lines(frame(spark, [(1, x), (2, y)])).collect() == []
+    assert len(set(textscan.words(*textscan.buffers(strings(pa.array([f"{x} {y}"]))))[0].tolist())) == 2
+
+
+def test_many_lines_with_one_opening(spark):
+    rng = random.Random(88)
+    opening = "Posted by the administrator of this forum in the general section on "
+    rows = [(k, opening + "".join(rng.choice("abcdefghij") for _ in range(30))) for k in range(700)]
+    rows += [(1000 + k, rows[k][1][:-1] + "#") for k in range(0, 700, 50)] + [(2000 + k, rows[k][1]) for k in range(3)]
+    got = {(r.doc_id, r.kept_doc_id, r.distance) for r in linededup.repeated_lines(frame(spark, rows)).collect()}
+    assert got == {(1000 + k, k, 1) for k in range(0, 700, 50)} | {(2000 + k, k, 0) for k in range(3)}
 
 
 def test_line_dedup_rewrites(spark):
@@ -207,6 +317,8 @@ def test_line_dedup_rewrites(spark):
     assert linededup.without_repeated_lines(frame(spark, [])).collect() == []
     kept = linededup.without_repeated_lines(frame(spark, awkward(random.Random(10)), clash=True))
     assert kept.columns == frame(spark, [], clash=True).columns and kept.count() == 11
+    rows = awkward(random.Random(10))
+    assert {tuple(r) for r in linededup.repeated_lines(frame(spark, rows[:6] + rows[8:10], clash=True)).collect()} == plain_repeated(rows[:6] + rows[8:10], linededup.TAU, linededup.LEAST)
 
 
 def test_short_lines_that_repeat_go(spark):
