@@ -7,13 +7,17 @@ and a sample of suffix positions. All test phrases are searched backward at
 once; occurrences are located by walking to the next sampled position, and the
 spans found in a text are merged and cut out.
 
-Plan: a map over the scan without any shuffle. The phrases are broadcast; a
-benchmark beyond PHRASE_BYTES is searched in several passes over the texts.
+Plan: a map over the scan without any shuffle. The words of the items are
+broadcast; a benchmark beyond PHRASE_BYTES is searched in several passes over the
+texts, each written to the shared folder, so one lot at a time is held anywhere.
 
 Defined results: case and punctuation do not matter; a test item of fewer words
 than ``window`` is searched whole, one of fewer than ``least`` words is left
-out; null and empty texts never match; repeated rows each get the same result;
-equal items are all reported; spans that touch or overlap become one.
+out, since such short phrases stand in clean texts too; items without id or text
+are left out; null and empty texts never match; a very long text is a shard of
+its own and is searched whole; repeated rows each get the same result; equal items
+and items that repeat an id are all reported; spans that touch or overlap become
+one; empty tables give no rows; input columns called like an added one give way.
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, strings, text_batches
+from .common import free_name, materialise, strings, text_batches
 from .textscan import buffers, chunks, lowered, words
 
 SHARD_WORDS = 1_000_000
-PHRASE_BYTES = 32 << 20
+#: Bytes of benchmark text to a lot; what is broadcast of it is 8 bytes a word, and the windows are made WINDOWS at a time.
+PHRASE_BYTES, WINDOWS = 16 << 20, 1 << 18
 SAMPLE = 16
 
 
@@ -180,22 +185,28 @@ class FMIndex:
         return text, at - text, which
 
 
-def phrase_windows(items: list[tuple[int, str]], window: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(right-aligned word hashes, lengths, item ids) of all windows of the items, repeated ones once per item."""
-    rows, lengths, ids = [], [], []
-    for item, text in items:
-        column = lowered(strings(pa.array([text])))
-        hashes = words(*buffers(column))[0]
-        size = min(window, len(hashes))
-        if size < least:
-            continue
-        for k in range(len(hashes) - size + 1):
-            row = np.zeros(window, np.uint64)
-            row[window - size :] = hashes[k : k + size]
-            rows.append(row)
-            lengths.append(size)
-            ids.append(item)
-    return np.array(rows, np.uint64).reshape(-1, window), np.array(lengths, np.int64), np.array(ids, np.int64)
+def item_words(items: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, bounds, item ids) of rows (item, text): 8 bytes for each word."""
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, _, data, offsets in chunks(lowered(strings(items.column(1)))):
+        h, _, _, bounds = words(data, offsets)
+        hashes.append(h)
+        counts.append(np.diff(bounds))
+    return np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64), items.column(0).to_numpy().astype(np.int64)
+
+
+def phrase_windows(hashes: np.ndarray, bounds: np.ndarray, ids: np.ndarray, window: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(right-aligned word hashes, lengths, item ids) of the windows of all items, WINDOWS at a time; equal ones once for each item."""
+    count = np.diff(bounds)
+    size = np.minimum(window, count)
+    n = np.where(size >= least, count - size + 1, 0)
+    item = np.repeat(np.arange(len(count)), n)
+    start = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n) + bounds[:-1][item]
+    for k in range(0, len(item), WINDOWS):
+        which, first = item[k : k + WINDOWS], start[k : k + WINDOWS]
+        place = np.arange(window)[None, :] - (window - size[which])[:, None]
+        rows = np.where(place >= 0, hashes[np.maximum(first[:, None] + place, 0)], np.uint64(0))
+        yield rows, size[which], ids[which]
 
 
 def merged(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
@@ -209,9 +220,8 @@ def merged(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _shard_spans(texts: list[pa.Array], phrases: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[int, tuple[list[tuple[int, int]], list[int]]]:
+def _shard_spans(texts: list[pa.Array], phrases: tuple[np.ndarray, np.ndarray, np.ndarray], window: int, least: int) -> dict[int, tuple[list[tuple[int, int]], list[int]]]:
     """For each text with a match: merged byte ranges and the items found."""
-    windows, lengths, ids = phrases
     parts, size = [], 0
     for column in texts:
         for _, _, data, offsets in chunks(column):
@@ -219,19 +229,23 @@ def _shard_spans(texts: list[pa.Array], phrases: tuple[np.ndarray, np.ndarray, n
             begin = np.repeat(offsets[:-1], np.diff(b))
             parts.append((h, s - begin, e - begin, b[:-1] + size))
             size += len(h)
-    if not size or not len(windows):
+    if not size or not len(phrases[0]):
         return {}
     hashes, start, end = (np.concatenate([p[k] for p in parts]) for k in range(3))
     bounds = np.concatenate([*[p[3] for p in parts], [size]])
     index = FMIndex(hashes, bounds)
-    text, word, which = index.occurrences(index.symbols(windows.ravel()).reshape(windows.shape), lengths)
+    hits = [[np.zeros(0, np.int64)] * 4]
+    for windows, lengths, ids in phrase_windows(*phrases, window, least):
+        text, word, which = index.occurrences(index.symbols(windows.ravel()).reshape(windows.shape), lengths)
+        hits.append([text, word, word + lengths[which], ids[which]])
+    text, word, last, item = (np.concatenate(x) for x in zip(*hits, strict=True))
     by = np.argsort(text, kind="stable")
-    text, word, which = text[by], word[by], which[by]
+    text, word, last, item = text[by], word[by], last[by], item[by]
     out = {}
     for i in np.unique(text):
         mine = slice(np.searchsorted(text, i), np.searchsorted(text, i, "right"))
-        spans = merged(word[mine], word[mine] + lengths[which[mine]])
-        out[int(i)] = ([(int(start[a]), int(end[b - 1])) for a, b in spans], sorted(set(ids[which[mine]].tolist())))
+        spans = merged(word[mine], last[mine])
+        out[int(i)] = ([(int(start[a]), int(end[b - 1])) for a, b in spans], sorted(set(item[mine].tolist())))
     return out
 
 
@@ -245,45 +259,49 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int,
     return "".join([*kept, raw[at:].decode()]), chars
 
 
-def _passes(benchmark: DataFrame, item_column: str, text_column: str) -> Iterator[list[tuple[int, str]]]:
-    """The items, in as many lots as PHRASE_BYTES asks for."""
-    rows = benchmark.where(F.col(f"`{text_column}`").isNotNull()).select(F.col(f"`{item_column}`").cast("bigint").alias("i"), F.col(f"`{text_column}`").alias("t"))
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    lots = int(size // PHRASE_BYTES) + 1
-    for k in range(lots):
-        lot = rows if lots == 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(lots)) == k)
-        yield [(r.i, r.t) for r in lot.toLocalIterator()]
+def _lots(benchmark: DataFrame, item_column: str, text_column: str) -> int:
+    """In how many lots of about PHRASE_BYTES the items are searched."""
+    size = benchmark.where(F.col(f"`{item_column}`").isNotNull()).agg(F.sum(F.octet_length(F.col(f"`{text_column}`")).cast("bigint"))).first()[0] or 0
+    return int(size // PHRASE_BYTES) + 1
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = 8, least: int = 5, only_hits: bool = True) -> DataFrame:
-    """``docs`` with ``item_ids`` (found items), ``spans`` (start and end in characters) and ``clean_text``.
+def _lot(benchmark: DataFrame, item_column: str, text_column: str, k: int, lots: int) -> pa.Table:
+    rows = benchmark.select(F.col(f"`{item_column}`").cast("bigint").alias("i"), F.col(f"`{text_column}`").alias("t")).where("i is not null and t is not null")
+    return (rows if lots == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(lots)) == k)).toArrow()
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = 8, least: int = 5, only_hits: bool = True, added: tuple[str, str, str] = ("item_ids", "spans", "clean_text")) -> DataFrame:
+    """``docs`` with the ``added`` columns: found items, spans (start and end in characters) and the text without them.
 
     Only texts with a match are returned, or with ``only_hits=False`` all of them.
     Input columns that are called like an added one are replaced.
     """
     text_batches(docs.sparkSession)
-    gone = ("item_ids", "spans", "clean_text")
+    gone = [c.lower() for c in added]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in gone])
     names, hidden = list(docs.columns), free_name(docs, "__found")
     found_type = T.StructType([T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.LongType()))])
-    lots = list(_passes(benchmark, item_column, item_text)) or [[]]
     spark = docs.sparkSession
+    fields = [*docs.schema.fields]
     at = names.index(next(c for c in names if c.lower() == text_column.lower()))
-    for k, lot in enumerate(lots):
-        phrases = spark.sparkContext.broadcast(phrase_windows(lot, window, least))
-        schema = T.StructType([*[f for f in docs.schema.fields if f.name != hidden], T.StructField(hidden, found_type)])
-        search = _searcher(phrases, at, len(names), k > 0, only_hits and len(lots) == 1)
-        if k + 1 < len(lots):
-            docs = docs.mapInArrow(search, schema)
-    fields = T.StructType([*[f for f in docs.schema.fields if f.name != hidden], T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("clean_text", T.StringType())])
-    cut = _cutter(at, len(names), only_hits)
+    lots = _lots(benchmark, item_column, item_text)
+    for k in range(lots):
+        phrases = spark.sparkContext.broadcast(item_words(_lot(benchmark, item_column, item_text, k, lots)))
+        search = _searcher(phrases, at, len(names), k > 0, only_hits and lots == 1, window, least, hidden)
+        if k + 1 < lots:
+            # Written, so that one lot of phrases at a time is in memory.
+            docs = materialise(docs.mapInArrow(search, T.StructType([*fields, T.StructField(hidden, found_type)])))
+            phrases.destroy()
+    item_ids, spans, clean = added
+    extra = [T.StructField(item_ids, T.ArrayType(T.LongType())), T.StructField(spans, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField(clean, T.StringType())]
+    cut = _cutter(at, len(names), only_hits, added)
     # The last search and the cut share a worker.
-    return docs.mapInArrow(lambda batches: cut(search(batches)), fields)
+    return docs.mapInArrow(lambda batches: cut(search(batches)), T.StructType([*fields, *extra]))
 
 
-def _searcher(phrases, at: int, width: int, again: bool, only_hits: bool):
+def _searcher(phrases, at: int, width: int, again: bool, only_hits: bool, window: int, least: int, hidden: str):
     def flush(batches: list[pa.RecordBatch], low: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        spans, base = _shard_spans(low, phrases.value), 0
+        spans, base = _shard_spans(low, phrases.value, window, least), 0
         for batch in batches:
             found = [spans.get(base + i) for i in range(batch.num_rows)]
             base += batch.num_rows
@@ -295,7 +313,7 @@ def _searcher(phrases, at: int, width: int, again: bool, only_hits: bool):
                 else:
                     rows.append(was if new is None else {"spans": was["spans"] + [list(s) for s in new[0]], "items": was["items"] + new[1]})
             kind = pa.struct([("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))])
-            out = pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(width)], pa.array(rows, kind)], names=[*batch.schema.names[:width], "__found"])
+            out = pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(width)], pa.array(rows, kind)], names=[*batch.schema.names[:width], hidden])
             if only_hits:
                 out = out.filter(pa.array([r is not None for r in rows], pa.bool_()))
             if out.num_rows:
@@ -323,7 +341,7 @@ def _searcher(phrases, at: int, width: int, again: bool, only_hits: bool):
     return run
 
 
-def _cutter(at: int, width: int, only_hits: bool):
+def _cutter(at: int, width: int, only_hits: bool, added: tuple[str, str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, texts = batch.column(width), batch.column(at)
@@ -343,6 +361,6 @@ def _cutter(at: int, width: int, only_hits: bool):
             columns = [batch.column(k) for k in range(width)]
             columns += [pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), texts if clean is None else pa.array(clean, pa.string())]
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:width], "item_ids", "spans", "clean_text"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:width], *added])
 
     return run
