@@ -19,10 +19,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaylake.llm.common import shared_dir, table
+from relaylake.llm.common import free_name, shared_dir, table
 from relaylake.llm.fmindex import find_contamination
 from relaylake.llm.linededup import without_repeated_lines
-from relaylake.llm.minhash import near_duplicates
+from relaylake.llm.minhash import without_near_duplicates
 from relaylake.llm.packing import pack_documents
 from relaylake.llm.toxicity import THRESHOLD, train, with_scores
 
@@ -36,24 +36,23 @@ def _retexted(docs: DataFrame, text) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"))
-    return with_scores(docs, model, score_column="__toxicity", keep=(0.0, THRESHOLD)).drop("__toxicity")
+    score = free_name(docs, "toxicity")
+    return with_scores(docs, model, score_column=score, keep=(0.0, THRESHOLD)).drop(score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = without_repeated_lines(docs.withColumn("__old", F.length("text")))
-    changed = F.coalesce(F.length("text"), F.lit(-1)) != F.coalesce(F.col("__old"), F.lit(-1))
-    return cut.select(*[F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    return without_repeated_lines(docs, length_column="n_chars")
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_duplicates(docs).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), only_hits=False)
-    left = found.where(F.col("item_ids").isNull() | F.col("clean_text").rlike(r"[\p{L}\p{N}]"))
-    return _retexted(left, F.col("clean_text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    items, spans, clean = (free_name(docs, x) for x in ("item_ids", "spans", "clean_text"))
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), only_hits=False, added=(items, spans, clean))
+    left = found.where(F.col(items).isNull() | F.col(clean).rlike(r"[\p{L}\p{N}]"))
+    return _retexted(left, F.col(clean)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
