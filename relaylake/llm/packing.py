@@ -1,47 +1,68 @@
 """Lexical retrieval packing.
 
-The corpus is cut into index shards. In each, the first unused document seeds a
-window; a BM25 inverted index of the shard scores all unused documents against
-the seed's terms, and the neighbours fill the window in order of score, each
-that still fits. Document counts, document frequencies and the mean length are
-those of the whole corpus. The search within a shard is exact.
-
-A document goes to a shard by the least hash of its longer words, so documents
-with a common vocabulary tend to meet; a shard above twice its size in bytes is
-split by a hash of the id.
-
-Plan: texts are shuffled once, by shard; the term statistics and the packing
-both read that exchange. Terms of a shard (not of a document) are shuffled for
-their frequencies: by term, where a window sums them, then back by shard, and
-only those that two documents of the shard share.
+A BM25 inverted index over all documents, cut into shards, answers a query for each
+seed document; the unused documents that it returns fill the seed's window in order
+of score, each that still fits. Document counts, document frequencies and the mean
+length are those of the whole corpus.
+
+There are two kinds of seeds. Every document whose id is divisible by STRIDE is a
+query against all shards: its NEIGHBOURS best documents over the whole corpus are
+found exactly, and a document that several of these seeds return is offered to the
+one that scores it highest. What room is left there, and all other documents, are
+packed within placement shards, where the first unused document seeds the next
+window and all unused ones of the shard are scored against it.
+
+A document is placed by the least hash of its longer words, so documents with a
+common vocabulary tend to meet; a place above twice its size in bytes is split by
+a second such hash, and what copies keep together even then by a hash of the row.
+Offered documents are placed with their seed.
+
+Plan: one scan makes a narrow profile of each document, the terms of the seeds and
+partial document frequencies. One more scan builds an index of each run of texts and
+searches it for all seeds, which are broadcast in lots of LOT_BYTES of text; only the
+best of each task are shuffled. Texts move by shard once, after a join with their
+places. Terms of a shard (not of a document) are shuffled for their frequencies, and
+only those that two documents of the shard share. The search of the seeds is a
+hundredth of all pairs and so grows faster than the table; STRIDE sets it.
 
 Defined results: a document of more than ``window`` words is cut into pieces of
 that many and a rest that is packed like other documents; no word is lost; null
-and empty texts, and texts without a word, are in no window; equal scores go to
-the smaller id, then the earlier row; repeated rows are packed each; a document
-without any term in common with the seed is no neighbour of it; the pieces of a
-document, put together, are its exact text.
+and empty texts, and texts without a word, are in no window; rows without an id are
+packed too and are no queries; equal scores go to the smaller id (none first), then
+the earlier row; repeated rows are packed each; a document without any term in
+common with the seed is no neighbour of it; the pieces of a document, put together,
+are its exact text; an empty table gives no rows; input columns may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import strings, text_batches
+from .common import materialise, strings, text_batches
 from .textscan import chunks, lowered, mix, words
 
 WINDOW, SHARD_BYTES, K1, B = 4096, 16 << 20, 1.2, 0.75
-#: So many oversized shards are looked up by a broadcast; more by a shuffled join.
-BROADCAST_SHARDS = 100_000
+#: Ids divisible by STRIDE are queries against the whole corpus, which return NEIGHBOURS documents.
+STRIDE, NEIGHBOURS = 100, 32
+#: Stands for a missing id while scores are ranked.
+NOTHING = -(1 << 63)
+#: Bytes of seed texts that are searched at once; their terms, 8 bytes each, are less.
+LOT_BYTES = 16 << 20
+#: Seeds searched together, and terms of more than so small a share of the documents are multiplied as a matrix.
+SEEDS, COMMON = 256, 1 / 16
 
 PACKED = "shard_id bigint, window_no bigint, seed_doc_id bigint, doc_ids array<bigint>, pieces array<struct<doc_id: bigint, first_word: bigint, last_word: bigint, score: double>>, n_words bigint, text string"
-TERMS = "__shard bigint, term bigint, n bigint, words bigint"
+TERMS = "shard bigint, term bigint"
+PROFILE = "id bigint, row bigint, least bigint, second bigint, size bigint, words bigint, terms array<bigint>, term bigint, n bigint"
+FOUND = "seed bigint, doc bigint, doc_id bigint, score double"
 
 
 def _runs(texts: pa.ChunkedArray, order: np.ndarray):
@@ -78,15 +99,11 @@ def _pairs(texts: pa.ChunkedArray, order: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _shard_terms(table: pa.Table) -> pa.Table:
-    """How many documents of the shard have each term; the row without a term counts documents and words."""
-    shard = table.column(0)[0].as_py()
-    hashes, _, _, lengths = _pairs(table.column(2), np.arange(table.num_rows))
+    """The terms that two or more documents of the shard have."""
+    hashes, _, _, _ = _pairs(table.column("text"), np.arange(table.num_rows))
     terms, n = np.unique(hashes, return_counts=True)
-    del hashes
-    full = int((lengths > 0).sum())
-    return pa.table(
-        {"__shard": pa.array([shard] * (len(terms) + 1), pa.int64()), "term": pa.concat_arrays([pa.array(terms.view(np.int64)), pa.nulls(1, pa.int64())]), "n": pa.array(np.append(n, full)), "words": pa.array(np.append(np.zeros(len(n), np.int64), lengths.sum()))}
-    )
+    terms = terms[n > 1]
+    return pa.table({"shard": pa.array(np.full(len(terms), table.column("shard")[0].as_py()), pa.int64()), "term": pa.array(terms.view(np.int64))})
 
 
 class ShardIndex:
@@ -141,11 +158,12 @@ def bm25_weights(count: np.ndarray, length: np.ndarray, df: np.ndarray, docs: in
     return np.log1p((docs - df + 0.5) / (df + 0.5)) * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
 
 
-def pack_shard(ids: np.ndarray, pairs: list[np.ndarray], df_terms: np.ndarray, df: np.ndarray, docs: int, mean: float, window: int):
-    """Windows of one shard, as lists of (document, first word, last word, score); documents come in order of id.
+def pack_shard(n: int, pairs: list[np.ndarray], df_terms: np.ndarray, df: np.ndarray, docs: int, mean: float, window: int, offers: list[tuple[int, list[tuple[int, float]]]]):
+    """Windows of one shard of ``n`` documents, as lists of (document, first word, last word, score); documents come in order of id.
 
     ``pairs`` is what ``_pairs`` gives; it is emptied, to free memory early.
     ``df_terms`` has every term of two or more of the documents, and ``df`` their document counts.
+    ``offers`` are seeds with the documents, best first, that are put into their windows before anything else.
     """
     hashes, doc, count, length = pairs
     pairs.clear()
@@ -169,23 +187,30 @@ def pack_shard(ids: np.ndarray, pairs: list[np.ndarray], df_terms: np.ndarray, d
     else:
         term, doc, count = (np.zeros(0, np.int32) for _ in range(3))
     del hashes
-    query_terms, query_ends = term, np.searchsorted(doc, np.arange(len(ids) + 1))
+    query_terms, query_ends = term, np.searchsorted(doc, np.arange(n + 1))
     by = np.argsort(term, kind="stable")
     term, doc, count = term[by], doc[by], count[by]
     weight = np.empty(len(term), np.float32)
     for at in range(0, len(term), 1 << 18):
         part = slice(at, at + (1 << 18))
         weight[part] = bm25_weights(count[part], length[doc[part]], df[term[part]], docs, mean)
-    index = ShardIndex(len(ids), term, doc, weight)
+    index = ShardIndex(n, term, doc, weight)
+    offers = [(seed, given) for seed, given in offers if not used[seed]]
+    used[[seed for seed, _ in offers]] = True
     index.shrink(used)
     left = len(index.alive)
-    for seed in range(len(ids)):
-        if used[seed]:
-            continue
-        used[seed] = True
+
+    def take(made: list, d: int, score: float) -> int:
+        nonlocal left
+        made.append((d, int(length[d] - rest[d]), int(length[d]), score))
+        used[d] = True
         left -= 1
-        first = int(length[seed] - rest[seed])
-        made, room = [(seed, first, int(length[seed]), 0.0)], window - int(rest[seed])
+        return int(rest[d])
+
+    def start(seed: int) -> tuple[list, int]:
+        return [(seed, int(length[seed] - rest[seed]), int(length[seed]), 0.0)], window - int(rest[seed])
+
+    def fill(seed: int, made: list, room: int) -> None:
         if left and room:
             score = index.scores(query_terms[query_ends[seed] : query_ends[seed + 1]])
             open_ = np.flatnonzero(~used[index.alive] & (score > 0) & (rest[index.alive] <= room))
@@ -198,51 +223,182 @@ def pack_shard(ids: np.ndarray, pairs: list[np.ndarray], df_terms: np.ndarray, d
                 if not fits[step]:
                     break
                 at += step
-                d = int(index.alive[ranked[at]])
-                made.append((d, int(length[d] - rest[d]), int(length[d]), float(score[ranked[at]])))
-                used[d] = True
-                left -= 1
-                room -= int(rest[d])
+                room -= take(made, int(index.alive[ranked[at]]), float(score[ranked[at]]))
                 at += 1
         out.append(made)
         if left and left * 2 < len(index.alive):
             index.shrink(used)
+
+    begun = []
+    for seed, given in offers:
+        made, room = start(seed)
+        for d, score in given:
+            if not used[d] and rest[d] <= room:
+                room -= take(made, d, score)
+        begun.append((seed, made, room))
+    for window_so_far in begun:
+        fill(*window_so_far)
+    for seed in range(n):
+        if not used[seed]:
+            used[seed] = True
+            left -= 1
+            fill(seed, *start(seed))
     return out
 
 
-def _with_bucket(shards: int):
-    """Put the bucket before each row: the least hash of its words of 8 bytes and more, else the hash of its id."""
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, with the terms of seeds, and one for each term of a batch with its document count."""
+    for batch in batches:
+        rows, seeds = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+        least = mix(rows.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        second, count, size = mix(least.copy()), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        own: list[np.ndarray | None] = [None] * len(rows)
+        terms = []
+        for first, last, data, offsets in chunks(lowered(strings(batch.column(3)))):
+            hashes, start, end, bounds = words(data, offsets)
+            count[first:last], size[first:last] = np.diff(bounds), np.diff(offsets)
+            long = end - start >= 8
+            ends = np.concatenate([[0], np.cumsum(long)])[bounds]
+            have = np.flatnonzero(np.diff(ends))
+            if len(have):
+                least[first + have] = np.minimum.reduceat(hashes[long], ends[have])
+                second[first + have] = np.minimum.reduceat(mix(hashes[long] + np.uint64(0xD6E8FEB86659FD93)), ends[have])
+            for d in np.flatnonzero(seeds[first:last] & (np.diff(bounds) > 0)).tolist():
+                own[first + d] = np.unique(hashes[bounds[d] : bounds[d + 1]]).view(np.int64)
+            doc = np.repeat(np.arange(last - first), np.diff(bounds))
+            by = np.lexsort((doc, hashes))
+            hashes, doc = hashes[by], doc[by]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+            terms.append(hashes[new])
+        unique, n = np.unique(np.concatenate(terms) if terms else np.zeros(0, np.uint64), return_counts=True)
+        none = lambda kind: pa.nulls(len(rows), kind)
+        lists = pa.list_(pa.int64())
+        halves = [pa.array((mix(x.copy()) >> np.uint64(1)).view(np.int64)) for x in (least, second)]
+        names = [c.split()[0] for c in PROFILE.split(", ")]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *halves, pa.array(size), pa.array(count), pa.array(own, lists), none(pa.int64()), none(pa.int64())], names=names)
+        none = lambda kind: pa.nulls(len(unique), kind)
+        yield pa.RecordBatch.from_arrays([*[none(pa.int64())] * 6, none(lists), pa.array(unique.view(np.int64)), pa.array(n)], names=names)
+
+
+class Lot:
+    """Some seeds as queries: their rows, and their terms as places in a sorted vocabulary with document frequencies."""
+
+    def __init__(self, rows: np.ndarray, bounds: np.ndarray, terms: np.ndarray, df_terms: np.ndarray, df: np.ndarray, docs: int, mean: float, k: int):
+        self.rows, self.docs, self.mean, self.k = rows, docs, mean, k
+        by = np.argsort(df_terms)
+        self.vocabulary, self.df = df_terms[by], df[by]
+        place = np.searchsorted(self.vocabulary, terms)
+        # Common terms are columns of a matrix, the others lists.
+        common = np.flatnonzero(self.df > COMMON * docs)
+        self.column = np.full(len(df), -1)
+        self.column[common] = np.arange(len(common))
+        query = np.repeat(np.arange(len(rows)), np.diff(bounds))
+        at = self.column[place]
+        self.width = len(common)
+        self.query, self.place = query[at >= 0].astype(np.int32), at[at >= 0].astype(np.int32)
+        rare = at < 0
+        self.rare, self.ends = place[rare], np.searchsorted(query[rare], np.arange(len(rows) + 1))
+
+    def matrix(self) -> np.ndarray:
+        out = np.zeros((len(self.rows), self.width), np.float32)
+        out[self.query, self.place] = 1
+        return out
+
+
+def search_lot(lot: Lot, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]], window: int) -> tuple[np.ndarray, ...]:
+    """(query, document row, document id, score) of the best ``lot.k`` documents of each query among (row, id, seed, text) batches."""
+    best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    floor = np.zeros(len(lot.rows))
+    dense, pending = lot.matrix(), []
+
+    def settle() -> None:
+        nonlocal best
+        query, doc, name, score = (np.concatenate(x) for x in zip(best, *pending, strict=True))
+        pending.clear()
+        order = np.lexsort((doc, name, -score, query))
+        new = np.ones(len(order), bool)  # a row that is repeated counts once
+        new[1:] = (np.diff(query[order]) != 0) | (np.diff(doc[order]) != 0)
+        order = order[new]
+        query = query[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        order = order[rank < lot.k]
+        best = [query[rank < lot.k], doc[order], name[order], score[order]]
+        full = np.flatnonzero(np.bincount(best[0], minlength=len(floor)) >= lot.k)
+        floor[full] = best[3][np.searchsorted(best[0], full, "right") - 1]
+
+    for rows, names, seeds, texts in batches:
+        for first, last, data, offsets in chunks(lowered(texts), 4 << 20):
+            hashes, _, _, bounds = words(data, offsets)
+            length = np.diff(bounds)
+            n = last - first
+            at = np.minimum(np.searchsorted(lot.vocabulary, hashes), len(lot.vocabulary) - 1)
+            known = lot.vocabulary[at] == hashes
+            key = at[known] * n + np.repeat(np.arange(n), length)[known]
+            key, count = np.unique(key, return_counts=True)
+            term, doc = np.divmod(key, n)
+            weight = bm25_weights(count, length[doc], lot.df[term], lot.docs, lot.mean)
+            column = lot.column[term]
+            wide = np.zeros((lot.width, n), np.float32)
+            wide[column[column >= 0], doc[column >= 0]] = weight[column >= 0]
+            begin, stop = np.searchsorted(term, lot.rare), np.searchsorted(term, lot.rare, "right")
+            closed = seeds[first:last] | (length % window == 0)
+            for q in range(0, len(lot.rows), SEEDS):
+                queries = min(SEEDS, len(lot.rows) - q)
+                score = (dense[q : q + queries] @ wide).astype(np.float64)
+                some = slice(lot.ends[q], lot.ends[q + queries])
+                hits = stop[some] - begin[some]
+                total = int(hits.sum())
+                if total:
+                    which = np.repeat(np.repeat(np.arange(queries), np.diff(lot.ends[q : q + queries + 1])), hits)
+                    place = np.arange(total) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(begin[some], hits)
+                    score += np.bincount(which * n + doc[place], weight[place], queries * n).reshape(queries, n)
+                score[:, closed] = 0
+                i, j = np.nonzero(score > np.maximum(floor[q : q + queries] - 1e-5, 1e-9)[:, None])
+                if len(i):
+                    pending.append([i + q, rows[first + j], names[first + j], np.round(score[i, j], 4)])
+            if sum(len(x[0]) for x in pending) > 4 * lot.k * len(lot.rows):
+                settle()
+    settle()
+    return tuple(best)
+
+
+def _searcher(shared, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            least = mix(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-            for first, _, data, offsets in chunks(lowered(strings(batch.column(1)))):
-                hashes, start, end, bounds = words(data, offsets)
-                long = end - start >= 8
-                ends = np.concatenate([[0], np.cumsum(long)])[bounds]
-                have = np.flatnonzero(np.diff(ends))
-                if len(have):
-                    least[first + have] = np.minimum.reduceat(hashes[long], ends[have])
-            bucket = (mix(least.copy()) % np.uint64(shards)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), batch.column(1)], names=["__bucket", "__id", "__text"])
+        lot = shared.value
+
+        def given():
+            for b in batches:
+                yield b.column(1).to_numpy(), b.column(0).fill_null(NOTHING).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), strings(b.column(3))
+
+        query, doc, name, score = search_lot(lot, given(), window)
+        if len(query):
+            yield pa.RecordBatch.from_arrays([pa.array(lot.rows[query]), pa.array(doc), pa.array(name), pa.array(score)], names=["seed", "doc", "doc_id", "score"])
 
     return run
 
 
-def _packer(window: int):
+def _packer(window: int, docs: int, mean: float):
     def run(texts: pa.Table, frequencies: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table({k: [] for k in ("shard_id", "window_no", "seed_doc_id", "doc_ids", "pieces", "n_words", "text")})
         pa.default_memory_pool().release_unused()
-        shard = texts.column("__shard")[0].as_py()
-        order = pc.sort_indices(texts, [("__id", "ascending"), ("__text", "ascending")]).to_numpy()
-        ids, raw = texts.column("__id").to_numpy()[order], texts.column("__text")
+        shard = texts.column("shard")[0].as_py()
+        order = pc.sort_indices(texts, [("id", "ascending"), ("text", "ascending")], null_placement="at_start").to_numpy()
+        ids, raw = texts.column("id").take(pa.array(order)).to_pylist(), texts.column("text")
         pairs = list(_pairs(raw, order))
-        whole = frequencies.column("term").is_null().to_numpy()
-        term, df = frequencies.column("term").fill_null(0).to_numpy()[~whole].view(np.uint64), frequencies.column("n").to_numpy()
-        docs, total = int(df[whole][0]), int(frequencies.column("words").to_numpy()[whole][0])
         length = pairs[3]
-        windows = pack_shard(ids, pairs, term, df[~whole], docs, total / max(1, docs), window)
+        row, seed, score = (texts.column(c).take(pa.array(order)).to_pylist() for c in ("row", "seed", "score"))
+        place: dict[int, int] = {}
+        for k, r in enumerate(row):
+            place.setdefault(r, k)
+        offers: dict[int, list[tuple[int, float]]] = {}
+        for k, r in enumerate(seed):
+            if r is not None:
+                offers.setdefault(place[r], []).append((k, score[k]))
+        given = [(k, sorted(offers[k], key=lambda x: (-x[1], x[0]))) for k in sorted(offers)]
+        term, df = frequencies.column("term").to_numpy().view(np.uint64), frequencies.column("n").to_numpy()
+        windows = pack_shard(len(ids), pairs, term, df, docs, mean, window, given)
 
         def cut(d: int, first: int, last: int) -> bytes:
             text = raw[int(order[d])].as_buffer().to_pybytes()
@@ -259,9 +415,9 @@ def _packer(window: int):
             {
                 "shard_id": pa.array([shard] * len(windows), pa.int64()),
                 "window_no": pa.array(range(len(windows)), pa.int64()),
-                "seed_doc_id": pa.array([int(ids[w[0][0]]) for w in windows], pa.int64()),
-                "doc_ids": pa.array([[int(ids[p[0]]) for p in w] for w in windows], pa.list_(pa.int64())),
-                "pieces": pa.array([[{"doc_id": int(ids[d]), "first_word": a, "last_word": b, "score": s} for d, a, b, s in w] for w in windows], kind),
+                "seed_doc_id": pa.array([ids[w[0][0]] for w in windows], pa.int64()),
+                "doc_ids": pa.array([[ids[p[0]] for p in w] for w in windows], pa.list_(pa.int64())),
+                "pieces": pa.array([[{"doc_id": ids[d], "first_word": a, "last_word": b, "score": s} for d, a, b, s in w] for w in windows], kind),
                 "n_words": pa.array([sum(p[2] - p[1] for p in w) for w in windows], pa.int64()),
                 "text": pa.chunked_array([joined(windows[k : k + 32]) for k in range(0, len(windows), 32)], pa.string()),
             }
@@ -270,23 +426,82 @@ def _packer(window: int):
     return run
 
 
-def pack_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _rows(docs: DataFrame, id_column: str, text_column: str, stride: int) -> DataFrame:
+    """(id, row, seed, text): ``row`` is a hash of both, ``seed`` says that the id is divisible by ``stride``."""
+    key, text = F.col(f"`{id_column}`").cast("bigint"), F.col(f"`{text_column}`")
+    return docs.where(text.isNotNull()).select(key.alias("id"), F.xxhash64(key, text).alias("row"), F.coalesce(key % stride == 0, F.lit(False)).alias("seed"), text.alias("text"))
+
+
+def _shards(profiles: DataFrame, size: int, shard_bytes: int) -> DataFrame:
+    """(row, shard) of each distinct row."""
+    shards = max(1, -(-size // shard_bytes))
+    rows = profiles.select("row", F.pmod("least", F.lit(shards)).alias("bucket"), "second", "size").dropDuplicates(["row"])
+
+    def parts(df: DataFrame, by: list[str], name: str) -> DataFrame:
+        heavy = df.groupBy(*by).agg(F.sum("size").alias("b")).where(F.col("b") > 2 * shard_bytes)
+        return df.join(heavy.select(*by, F.ceil(F.col("b") / F.lit(shard_bytes)).cast("bigint").alias(name)), by, "left")
+
+    rows = parts(rows, ["bucket"], "p").withColumn("sub", F.when(F.col("p").isNull(), 0).otherwise(F.pmod("second", "p")))
+    rows = parts(rows, ["bucket", "sub"], "q").withColumn("part", F.when(F.col("q").isNull(), 0).otherwise(F.pmod("row", "q")))
+    apart = F.when(F.col("p").isNull(), F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket", "sub", "part"), F.lit(1 << 62)) + shards)
+    return rows.select("row", apart.alias("shard"))
+
+
+def _neighbours(rows: DataFrame, profile: DataFrame, df: DataFrame, docs: int, mean: float, window: int, k: int) -> DataFrame:
+    """(seed, seed_id, doc, doc_id, score): rows of seeds with the ``k`` best documents that are no seeds."""
+    spark = rows.sparkSession
+    seeds = materialise(profile.where("terms is not null").select(F.col("row").alias("seed"), F.col("id").alias("seed_id"), "terms", "size").dropDuplicates(["seed"]))
+    total = seeds.agg(F.sum("size")).first()[0] or 0
+    lots = int(total // LOT_BYTES) + 1
+    parts = []
+    for n in range(lots if total else 0):
+        mine = seeds.where(F.pmod(F.xxhash64("seed"), F.lit(lots)) == n)
+        got = mine.select("seed", "terms").orderBy("seed").toArrow().combine_chunks()
+        if not got.num_rows:
+            continue
+        known = mine.select(F.explode("terms").alias("term")).distinct().join(df, "term").toArrow()
+        lists = got.column("terms").combine_chunks()
+        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        lot = Lot(got.column("seed").to_numpy(), bounds, lists.flatten().to_numpy().view(np.uint64), known.column("term").to_numpy().view(np.uint64), known.column("n").to_numpy(), docs, mean, k)
+        part = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(lot), window), FOUND)
+        # Written where there are more, so that one lot at a time is in memory.
+        parts.append(part if lots == 1 else materialise(part))
+    found = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], FOUND)
+    order = Window.partitionBy("seed").orderBy(F.desc("score"), "doc_id", "doc")
+    # A row that is repeated is returned once.
+    best = found.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= k).select("seed", "doc", "doc_id", "score").distinct()
+    return best.join(seeds.select("seed", "seed_id"), "seed").select("seed", "seed_id", "doc", F.nullif("doc_id", F.lit(NOTHING)).alias("doc_id"), "score")
+
+
+def _profiles(rows: DataFrame) -> tuple[DataFrame, DataFrame, int, int, float]:
+    """(profile of each document, document frequencies, bytes, documents with words, their mean length)."""
+    made = materialise(rows.mapInArrow(_profile, PROFILE))
+    profile = made.where("term is null").drop("term", "n")
+    df = materialise(made.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")))
+    whole = profile.agg(F.sum("size").alias("size"), F.sum("words").alias("words"), F.count_if(F.col("words") > 0).alias("docs")).first()
+    return profile, df, int(whole["size"] or 0), int(whole["docs"]), (whole["words"] or 0) / max(1, whole["docs"])
+
+
+def neighbours(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, stride: int = STRIDE, k: int = NEIGHBOURS) -> DataFrame:
+    """(seed_id, doc_id, score): what the search over the whole corpus returns for each seed."""
+    text_batches(docs.sparkSession)
+    rows = _rows(docs, id_column, text_column, stride)
+    profile, df, _, n, mean = _profiles(rows)
+    return _neighbours(rows, profile, df, n, mean, window, k).select("seed_id", "doc_id", "score")
+
+
+def pack_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, stride: int = STRIDE, k: int = NEIGHBOURS) -> DataFrame:
     """Windows (shard_id, window_no, seed_doc_id, doc_ids, pieces, n_words, text) of at most ``window`` words."""
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("__id"), F.col(f"`{text_column}`").alias("__text")).where(F.col("__text").isNotNull() & F.col("__id").isNotNull())
-    size = docs.select(F.sum(F.octet_length(F.col(f"`{text_column}`")))).first()[0] or 0
-    shards = max(1, -(-int(size) // shard_bytes))
-    rows = rows.mapInArrow(_with_bucket(shards), "__bucket bigint, __id bigint, __text string")
-    sizes = rows.groupBy(F.col("__bucket").alias("__full")).agg(F.sum(F.octet_length("__text")).alias("b")).where(F.col("b") > 2 * shard_bytes)
-    split = sizes.select("__full", F.ceil(F.col("b") / F.lit(shard_bytes)).alias("__parts"))
-    found = split.limit(BROADCAST_SHARDS + 1).collect()
-    if len(found) <= BROADCAST_SHARDS:
-        split = F.broadcast(docs.sparkSession.createDataFrame(found, "__full bigint, __parts bigint"))
-    rows = rows.join(split, F.col("__bucket") == F.col("__full"), "left")
-    part = F.pmod(F.xxhash64("__id"), F.coalesce("__parts", F.lit(1)))
-    moved = rows.select((F.col("__bucket") + part * shards).alias("__shard"), "__id", "__text").repartition("__shard")
-    terms = moved.groupBy("__shard").applyInArrow(_shard_terms, TERMS)
-    total = "sum({0}) over (partition by term)"
-    counted = terms.select("__shard", "term", F.col("n").alias("local"), F.expr(total.format("n")).alias("n"), F.expr(total.format("words")).alias("words"))
-    needed = counted.where("local > 1 or term is null").select("__shard", "term", "n", "words")
-    return moved.groupBy("__shard").cogroup(needed.groupBy("__shard")).applyInArrow(_packer(window), PACKED)
+    rows = _rows(docs, id_column, text_column, stride)
+    profile, df, size, n, mean = _profiles(rows)
+    shards = materialise(_shards(profile, size, shard_bytes))
+    found = _neighbours(rows, profile, df, n, mean, window, k)
+    # A document goes to the seed that scores it highest, of equal ones to the smaller id.
+    best = F.max_by(F.struct("seed", "score"), F.struct("score", -F.col("seed_id"), "seed"))
+    offers = found.groupBy("doc").agg(best.alias("to")).select("doc", F.col("to.seed").alias("seed"), F.col("to.score").alias("score"))
+    offers = offers.join(shards.select(F.col("row").alias("seed"), F.col("shard").alias("to")), "seed")
+    places = materialise(shards.join(offers, F.col("row") == F.col("doc"), "left").select("row", F.coalesce("to", "shard").alias("shard"), "seed", "score"))
+    moved = rows.select("id", "row", "text").join(places, "row").select("shard", "id", "row", "seed", "score", "text").repartition("shard")
+    terms = moved.groupBy("shard").applyInArrow(_shard_terms, TERMS)
+    return moved.groupBy("shard").cogroup(terms.join(df, "term").groupBy("shard")).applyInArrow(_packer(window, n, mean), PACKED)

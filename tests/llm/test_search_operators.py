@@ -404,42 +404,111 @@ def test_contamination_of_awkward_rows(spark):
     assert fmindex.find_contamination(frame(spark, rows), bench.limit(0)).collect() == []
 
 
-def plain_packing(rows, window):
-    docs = sorted((i, t) for i, t in rows if i is not None and words_of(t))
+def plain_bm25(rows):
+    docs = sorted((i is not None, i or 0, t) for i, t in rows if words_of(t))
+    docs = [(i if has else None, t) for has, i, t in docs]
     terms = [Counter(words_of(t)) for _, t in docs]
     sizes = [sum(c.values()) for c in terms]
     df = Counter(w for c in terms for w in c)
-    mean, out = sum(sizes) / len(sizes), []
+    mean = sum(sizes) / len(sizes)
     idf = {w: math.log1p((len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
-    score = lambda q, d: sum(idf[w] * terms[d][w] * 2.2 / (terms[d][w] + 1.2 * (0.25 + 0.75 * sizes[d] / mean)) for w in terms[q] if w in terms[d])
+    return docs, sizes, lambda q, d: sum(idf[w] * terms[d][w] * 2.2 / (terms[d][w] + 1.2 * (0.25 + 0.75 * sizes[d] / mean)) for w in terms[q] if w in terms[d])
+
+
+def plain_neighbours(rows, window, stride, k):
+    docs, sizes, score = plain_bm25(rows)
+    seed = lambda d: docs[d][0] is not None and docs[d][0] % stride == 0
+    free = [d for d in range(len(docs)) if not seed(d) and sizes[d] % window]
+    return docs, sizes, score, {q: sorted([(-round(score(q, d), 4), d) for d in free if score(q, d) > 0])[:k] for q in range(len(docs)) if seed(q)}
+
+
+def plain_packing(rows, window, stride=100, k=32):
+    docs, sizes, score, best = plain_neighbours(rows, window, stride, k)
+    offers = {}
+    for q, found in best.items():
+        for s, d in found:
+            offers[d] = min(offers.get(d, (s, q)), (s, q))
+    out = []
     for d, n in enumerate(sizes):
-        out += [[(docs[d][0], k * window, (k + 1) * window)] for k in range(n // window)]
+        out += [[(docs[d][0], j * window, (j + 1) * window)] for j in range(n // window)]
     left = {d: n % window for d, n in enumerate(sizes) if n % window}
-    while left:
-        seed = min(left)
-        room = window - left[seed]
-        made = [(docs[seed][0], sizes[seed] - left.pop(seed), sizes[seed])]
-        for d in sorted(left, key=lambda d: (-round(score(seed, d), 6), d)):
-            if score(seed, d) > 0 and left[d] <= room:
+    given = {q: sorted((s, d) for d, (s, to) in offers.items() if to == q) for q in best if q in left}
+    given = {q: v for q, v in given.items() if v}
+    own = {q: left.pop(q) for q in given}
+
+    begun = []
+    for q in sorted(given):
+        room, made = window - own[q], [(docs[q][0], sizes[q] - own[q], sizes[q])]
+        for _, d in given[q]:
+            if left[d] <= room:
+                room -= left[d]
+                made.append((docs[d][0], sizes[d] - left.pop(d), sizes[d]))
+        begun.append((q, room, made))
+
+    def fill(seed, room, made):
+        for _, d in sorted((-round(score(seed, d), 5), d) for d in left if score(seed, d) > 0):
+            if left[d] <= room:
                 room -= left[d]
                 made.append((docs[d][0], sizes[d] - left.pop(d), sizes[d]))
         out.append(made)
+
+    for some in begun:
+        fill(*some)
+    while left:
+        seed = min(left)
+        size = left.pop(seed)
+        fill(seed, window - size, [(docs[seed][0], sizes[seed] - size, sizes[seed])])
     return out
 
 
-def test_packing_equals_brute_force(spark):
+@pytest.mark.parametrize("stride", [100, 7])
+def test_packing_equals_brute_force(spark, stride):
     rng = random.Random(14)
-    rows = [(i, prose(rng, rng.choice([5, 30, 60, 130, 260]), 3000)) for i in range(70)]
-    got = [[(p.doc_id, p.first_word, p.last_word) for p in r.pieces] for r in packing.pack_documents(frame(spark, rows, clash=True), window=128).collect()]
-    assert sorted(got) == sorted(plain_packing(rows, 128))
+    rows = [(i, prose(rng, rng.choice([5, 30, 60, 130, 260]), 3000)) for i in range(70)] + [(None, prose(rng, 40, 3000))]
+    got = [[(p.doc_id, p.first_word, p.last_word) for p in r.pieces] for r in packing.pack_documents(frame(spark, rows, clash=True), window=128, stride=stride, k=5).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, plain_packing(rows, 128, stride, 5)))
+
+
+@pytest.mark.parametrize("lot", [16 << 20, 4000])
+def test_seeds_find_their_neighbours_in_all_shards(spark, monkeypatch, lot):
+    monkeypatch.setattr(packing, "LOT_BYTES", lot)
+    monkeypatch.setattr(packing, "SEEDS", 3)
+    rng = random.Random(141)
+    rows = [(i, prose(rng, rng.choice([5, 30, 60, 130, 260]), 3000)) for i in range(150)]
+    df = frame(spark, rows, clash=True).repartition(5)
+    docs, _, _, best = plain_neighbours(rows, 4096, 10, 8)
+    want = {(docs[q][0], docs[d][0]) for q, found in best.items() for _, d in found}
+    assert {(r.seed_id, r.doc_id) for r in packing.neighbours(df, stride=10, k=8).collect()} == want
+    # Cut into many shards, what a seed is offered still comes from all of them, and nothing is lost.
+    made = packing.pack_documents(df, window=4096, shard_bytes=8_000, stride=10, k=8).collect()
+    assert len({r.shard_id for r in made}) > 5
+    assert Counter(i for r in made for i in r.doc_ids) == Counter(i for i, _ in rows)
+    offered = {}
+    for q, found in best.items():
+        for s, d in found:
+            offered[d] = min(offered.get(d, (s, q)), (s, q))
+    placed = {p.doc_id: r.seed_doc_id for r in made for p in r.pieces}
+    assert all(placed[docs[d][0]] == docs[q][0] for d, (_, q) in offered.items())
+
+
+def test_a_shard_of_copies_is_split(spark):
+    rng = random.Random(142)
+    text = prose(rng, 100, 3000)
+    rows = [(i, text) for i in range(101, 400) if i % 100] + [(i, prose(rng, 100, 3000)) for i in range(1001, 1100) if i % 100]
+    made = packing.pack_documents(frame(spark, rows), window=512, shard_bytes=10_000).collect()
+    sizes = Counter()
+    for r in made:
+        sizes[r.shard_id] += sum(len(r.text) for _ in [0])
+    assert max(sizes.values()) < 40_000 and Counter(i for r in made for i in r.doc_ids) == Counter(i for i, _ in rows)
 
 
 def test_packing_keeps_every_word(spark):
     rows = awkward(random.Random(15))
+    rows = [*rows, rows[0], (100, rows[0][1]), (100, rows[0][1])]
     for size in (packing.SHARD_BYTES, 20_000):
         made = packing.pack_documents(frame(spark, rows, clash=True), window=512, shard_bytes=size).collect()
         assert all(sum(p.last_word - p.first_word for p in r.pieces) == r.n_words <= 512 for r in made)
-        assert sum(r.n_words for r in made) == sum(len(words_of(t)) for i, t, *_ in rows if i is not None)
+        assert sum(r.n_words for r in made) == sum(len(words_of(t)) for _, t, *_ in rows)
         long = sorted(((p.first_word, r.text) for r in made for p in r.pieces if p.doc_id == 6 and len(r.pieces) == 1), key=lambda x: x[0])
         assert rows[7][1].startswith("".join(t for _, t in long))
     assert packing.pack_documents(frame(spark, [])).collect() == []
