@@ -8,30 +8,39 @@ threshold, and a tile pair stops when no pair of it is left. Tile pairs whose
 bounding boxes lie too far apart are never formed. The search is exact, but for
 cosines that lie within 1e-6 of the threshold.
 
-Plan: products for the axes are one small aggregate; tiles of TILE vectors, BLOCK
-tiles to a block, are written once. Boxes of blocks are joined on their distance;
-only tiles of blocks that lie near each other move, once for each such pair.
-
-Defined results: null vectors, empty ones, ones with a null, infinite or NaN
-entry or without length, and ones of another dimension than most have no match;
-of vectors that are equal bit by bit one is compared and the others refer to the
-smallest id; an empty table gives no rows. A row of ``near_vectors`` means: of the
-vectors within the threshold of ``vec_id`` that have a smaller id, ``near_id`` is
-the smallest; other pairs are not in it. ``vector_pairs`` has a row for every pair.
+Plan: products for the axes are one small aggregate; vectors that are equal bit by
+bit become one, counted; tiles of TILE of them, BLOCK tiles to a block, are written
+once. Boxes of blocks are joined by the cells of a grid over the leading two
+dimensions, then by their distance; only tiles of blocks that lie near each other
+move, once for each such pair. A pair of blocks gives one row for each vector that
+has a match, with the number of matches and a link to the least of those that it is
+joined with, so no list of pairs is ever held or moved.
+
+Defined results: one row for each row of the table. ``n_links`` is the number of
+other rows within the threshold, copies and rows of the same id too; ``class_id`` is
+the least id of all rows that a chain of links reaches, its own id where there is no
+link. Vectors of different lengths never match, each length is compared by itself. Null
+vectors, empty ones, and ones with a null, infinite or NaN entry or without length
+have no link. Rows without id have no link and no class. Repeated rows and rows that
+repeat an id with another vector are rows of their own; ties need no rule, since
+nothing is chosen; very long vectors are compared like others, but their moments,
+of the square of the length, must fit the driver; an empty table gives no rows;
+input columns may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialise
+from .components import components
 
 THRESHOLD, TILE, STEP, BLOCK = 0.95, 1024, 8, 8
 #: Slack of the bounds for float32 products of unit vectors.
@@ -80,11 +89,13 @@ def _project(axes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, x = _unit(batch.column(1), len(axes))
-            if len(at):
-                y = x @ axes
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), pa.array([r.tobytes() for r in y.astype("<f4")], pa.binary()), *[pa.array(y[:, k]) for k in range(3)]], names=["id", "v", "p0", "p1", "p2"]
-                )
+            y = x @ axes
+            v: list[bytes | None] = [None] * batch.num_rows
+            for k, row in zip(at.tolist(), y.astype("<f4"), strict=True):
+                v[k] = row.tobytes()
+            lead = np.zeros((batch.num_rows, 3))
+            lead[at, : min(3, len(axes))] = y[:, :3]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.binary()), *[pa.array(lead[:, k]) for k in range(3)]], names=["id", "v", "p0", "p1", "p2"])
 
     return run
 
@@ -97,17 +108,17 @@ def _tiles(dims: int):
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal done
             table = pa.Table.from_batches(held)
-            ids = table.column(0).to_numpy()
-            x = np.frombuffer(b"".join(table.column(1).to_pylist()), "<f4").reshape(-1, dims)
-            for part in _split(x, np.arange(len(ids))):
+            nodes, counts = table.column(0).to_numpy(), table.column(1).to_numpy()
+            x = np.frombuffer(b"".join(table.column(2).to_pylist()), "<f4").reshape(-1, dims)
+            for part in _split(x, np.arange(len(nodes))):
                 ends = [f(x[part][:, k]) for k in range(min(STEP, dims)) for f in (np.min, np.max)]
-                columns = [pa.array([done // BLOCK]), pa.array([ids[part].astype("<i8").tobytes()], pa.binary()), pa.array([x[part].tobytes()], pa.binary()), *[pa.array([float(e)]) for e in ends]]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "vectors", *_ends(dims)])
+                columns = [pa.array([done // BLOCK]), *[pa.array([y[part].astype(kind).tobytes()], pa.binary()) for y, kind in ((nodes, "<i8"), (counts, "<i8"), (x, "<f4"))], *[pa.array([float(e)]) for e in ends]]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "nodes", "counts", "vectors", *_ends(dims)])
                 done += 1
 
         size = 0
         for batch in batches:
-            held.append(batch.select(["id", "v"]))
+            held.append(batch)
             size += batch.num_rows
             if size >= 64 * TILE:
                 yield from flush()
@@ -159,88 +170,95 @@ def tile_matches(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.nda
     return i[stay], j[stay], exact[stay]
 
 
-def _compare(dims: int, threshold: float, every: bool):
-    """For each vector of a pair of blocks, the smallest matching id below its own, or ``every`` one."""
+def unite(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels after joining the sets of u[k] and v[k]; each label is the least place of its set."""
+    while True:
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            return label
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _compare(dims: int, threshold: float):
+    """For each vector of a pair of blocks that has a match: the number of rows it matches and a vector it is joined with."""
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
-        ids = [np.frombuffer(x, "<i8") for x in table.column("ids").to_pylist()]
+        nodes, counts = ([np.frombuffer(x, "<i8") for x in table.column(c).to_pylist()] for c in ("nodes", "counts"))
         x = [np.frombuffer(v, "<f4").reshape(-1, dims) for v in table.column("vectors").to_pylist()]
         lead = [v[:, :STEP] for v in x]
         low, high = [v.min(0) for v in lead], [v.max(0) for v in lead]
+        at = np.concatenate([[0], np.cumsum([len(n) for n in nodes])])
+        label, links = np.arange(at[-1]), np.zeros(at[-1], np.int64)
         same = not (side == 1).any()
-        late, early, cosine = [], [], []
-        for a in np.flatnonzero(side == 0):
-            for b in (np.arange(a, len(ids)) if same else np.flatnonzero(side == 1)):
+        for a in np.flatnonzero(side == 0).tolist():
+            for b in (range(a, len(nodes)) if same else np.flatnonzero(side == 1).tolist()):
                 gap = np.maximum(0, np.maximum(low[a] - high[b], low[b] - high[a])).astype(np.float64)
-                if (gap * gap).sum() <= 2 - 2 * threshold + SLACK:
-                    i, j, c = tile_matches(x[a], x[b], threshold)
-                    p, q = ids[a][i], ids[b][j]
-                    late.append(np.maximum(p, q))
-                    early.append(np.minimum(p, q))
-                    cosine.append(c)
-        late, early, cosine = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (late, early, cosine))
-        order = np.lexsort((early, late))
-        order = order[late[order] != early[order]]
-        late, early, cosine = late[order], early[order], cosine[order]
-        first = np.ones(len(late), bool)
-        # A tile against itself gives each pair twice.
-        first[1:] = (late[1:] != late[:-1]) | (every & (early[1:] != early[:-1]))
-        return pa.table({"id": pa.array(late[first], pa.int64()), "near": pa.array(early[first], pa.int64()), "cosine": pa.array(cosine[first], pa.float64())})
+                if (gap * gap).sum() > 2 - 2 * threshold + SLACK:
+                    continue
+                i, j, _ = tile_matches(x[a], x[b], threshold)
+                if a == b:
+                    i, j = i[i != j], j[i != j]
+                links[at[a] : at[a + 1]] += np.bincount(i, counts[b][j], len(nodes[a])).astype(np.int64)
+                if a != b:
+                    links[at[b] : at[b + 1]] += np.bincount(j, counts[a][i], len(nodes[b])).astype(np.int64)
+                label = unite(label, at[a] + i, at[b] + j)
+        hit, every = np.flatnonzero(links), np.concatenate(nodes)
+        return pa.table({"node": pa.array(every[hit], pa.int64()), "other": pa.array(every[label[hit]], pa.int64()), "links": pa.array(links[hit], pa.int64())})
 
     return run
 
 
-def _matches(vectors: DataFrame, id_column: str, vector_column: str, threshold: float, every: bool) -> tuple[DataFrame, DataFrame]:
-    """((id, near, cosine) of distinct vectors, (id, first) of all vectors that stand for themselves or are copies)."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{vector_column}`").cast("array<double>").alias("v")).where("id is not null and v is not null")
-    most = rows.groupBy(F.size("v").alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").first()
-    if most is None:
-        return spark.createDataFrame([], "id bigint, near bigint, cosine double"), spark.createDataFrame([], "id bigint, first bigint")
-    dims = most.d
-    axes = principal_axes(rows, "v", dims) if dims > 2 else np.eye(dims)
-    wide = rows if dims > 2 else rows.withColumn("v", F.concat("v", F.array(*[F.lit(0.0)] * (3 - dims))))
-    if dims <= 2:
-        dims, axes = 3, np.eye(3)
-    one = wide.groupBy("id").agg(F.min("v").alias("v"))
-    placed = one.mapInArrow(_project(axes), "id bigint, v binary, p0 double, p1 double, p2 double")
-    # Equal vectors: one stands for all, so that a group of copies costs one comparison each.
-    firsts = materialise(placed.withColumn("first", F.min("id").over(Window.partitionBy("v"))))
-    ordered = firsts.where("id = first").repartitionByRange("p0", "p1", "p2")
+def _near_blocks(tiles: DataFrame, names: list[str], threshold: float) -> DataFrame:
+    """(x, y): pairs of blocks, x <= y, whose boxes lie within the distance that the threshold allows."""
+    reach = 2 - 2 * threshold + SLACK  # squared distance of unit vectors that match
+    width = float(np.sqrt(reach))
+    boxes = materialise(tiles.groupBy("block").agg(*[(F.min if c.startswith("low") else F.max)(c).alias(c) for c in names]))
+
+    def celled(name: str, margin: float) -> DataFrame:
+        made = boxes.select(F.col("block").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in names])
+        for k in range(min(2, len(names) // 2)):
+            cells = F.sequence(F.floor((F.col(f"{name}_low{k}") - margin) / width), F.floor((F.col(f"{name}_high{k}") + margin) / width))
+            made = made.withColumn(f"cell{k}", F.explode(cells))
+        return made
+
+    on = [f"cell{k}" for k in range(min(2, len(names) // 2))]
+    gaps = [F.greatest(F.lit(0.0), F.col(f"x_low{k}") - F.col(f"y_high{k}"), F.col(f"y_low{k}") - F.col(f"x_high{k}")) for k in range(len(names) // 2)]
+    met = celled("x", 0.0).join(celled("y", width * 1.001), on)
+    return met.where((F.col("x") <= F.col("y")) & (sum(g * g for g in gaps) <= reach)).select("x", "y").distinct()
+
+
+def _classes(rows: DataFrame, dims: int, threshold: float) -> DataFrame:
+    """(vec_id, class_id, n_links) of rows (id, v) whose vectors have ``dims`` entries."""
+    axes = principal_axes(rows, "v", dims) if dims > 1 else np.eye(1)
+    placed = materialise(rows.mapInArrow(_project(axes), "id bigint, v binary, p0 double, p1 double, p2 double"))
+    # Equal vectors become one; written with its number, so that the number never changes.
+    one = placed.where("v is not null").groupBy("v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(f"p{k}").alias(f"p{k}") for k in range(3)])
+    one = materialise(one.withColumn("node", F.monotonically_increasing_id()))
     names = _ends(dims)
-    tiles = materialise(ordered.select("id", "v").mapInArrow(_tiles(dims), "block bigint, ids binary, vectors binary, " + ", ".join(f"{c} double" for c in names)))
-    boxes = tiles.groupBy("block").agg(*[(F.min if c.startswith("low") else F.max)(c).alias(c) for c in names])
-    left, right = boxes.alias("l"), boxes.alias("r")
-    gaps = [F.greatest(F.lit(0.0), F.col(f"l.low{k}") - F.col(f"r.high{k}"), F.col(f"r.low{k}") - F.col(f"l.high{k}")) for k in range(len(names) // 2)]
-    # Squared distance between two boxes; unit vectors match within 2 - 2 * threshold.
-    near_boxes = left.join(right, (F.col("l.block") <= F.col("r.block")) & (sum(g * g for g in gaps) <= 2 - 2 * threshold + SLACK))
-    pairs = near_boxes.select(F.col("l.block").alias("x"), F.col("r.block").alias("y"))
-    blocks = tiles.select("block", "ids", "vectors")
+    ordered = one.repartitionByRange("p0", "p1", "p2").select("node", "n", "v")
+    tiles = materialise(ordered.mapInArrow(_tiles(dims), "block bigint, nodes binary, counts binary, vectors binary, " + ", ".join(f"{c} double" for c in names)))
+    pairs = materialise(_near_blocks(tiles, names, threshold))
+    blocks = tiles.select("block", "nodes", "counts", "vectors")
     sides = pairs.join(blocks, F.col("x") == F.col("block")).withColumn("side", F.lit(0)).unionAll(pairs.where("x != y").join(blocks, F.col("y") == F.col("block")).withColumn("side", F.lit(1)))
-    found = sides.select("x", "y", "side", "ids", "vectors").groupBy("x", "y").applyInArrow(_compare(dims, threshold, every), "id bigint, near bigint, cosine double")
-    return found, firsts.select("id", "first")
-
-
-def near_vectors(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, near_id, cosine): for each vector the smallest-id vector within the threshold before it."""
-    found, members = _matches(vectors, id_column, vector_column, threshold, every=False)
-    copies = members.where("id != first")
-    near = found.groupBy("id").agg(F.min(F.struct("near", "cosine")).alias("m")).select("id", "m.near", "m.cosine")
-    # A copy is nearest to its first, or to what comes before that.
-    of_copies = copies.join(near.select(F.col("id").alias("first"), "near", "cosine"), "first", "left").select("id", F.coalesce("near", "first").alias("near"), F.coalesce("cosine", F.lit(1.0)).alias("cosine"))
-    # What refers to a first may have copies before it only if the first itself is before it, so firsts suffice.
-    return near.unionAll(of_copies).select(F.col("id").alias("vec_id"), F.col("near").alias("near_id"), F.round("cosine", 6).alias("cosine"))
-
-
-def vector_pairs(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, near_id, cosine): every pair of vectors within the threshold, ``near_id`` being the smaller id.
-
-    Each copy has the pairs of its first, and one with each other copy, so the
-    rows are as many as the pairs; ``components`` makes groups of them.
-    """
-    found, members = _matches(vectors, id_column, vector_column, threshold, every=True)
-    # A pair of blocks meets once, so a pair of firsts does too.
-    a, b = members.select(F.col("id").alias("a"), F.col("first").alias("id")), members.select(F.col("id").alias("b"), F.col("first").alias("near"))
-    apart = found.join(a, "id").join(b, "near").select("a", "b", "cosine")
-    alike = a.join(b, (F.col("id") == F.col("near")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit(1.0).alias("cosine"))
-    return apart.unionAll(alike).select(F.greatest("a", "b").alias("vec_id"), F.least("a", "b").alias("near_id"), F.round("cosine", 6).alias("cosine"))
+    found = materialise(sides.select("x", "y", "side", "nodes", "counts", "vectors").groupBy("x", "y").applyInArrow(_compare(dims, threshold), "node bigint, other bigint, links bigint"))
+    roots = components(found, "node", "other")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    whole = one.select("node", "v", "first", "n").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = whole.where("links is not null").groupBy("root").agg(F.min("first").alias("least"))
+    known = whole.join(least, "root", "left").select("v", F.coalesce("least", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    alone = F.coalesce("n_links", F.lit(0)).cast("bigint")
+    return placed.select("id", "v").join(known, "v", "left").select(F.col("id").alias("vec_id"), F.coalesce("class_id", "id").alias("class_id"), alone.alias("n_links"))
+
+
+def vector_classes(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+    """(vec_id, class_id, n_links): for each row its class of near vectors and how many rows are near it."""
+    rows = vectors.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{vector_column}`").cast("array<double>").alias("v"))
+    size = F.when(F.col("id").isNotNull(), F.nullif(F.size("v"), F.lit(-1))).alias("d")
+    # As many rows as there are lengths of vectors.
+    lengths = sorted(r.d for r in rows.select(size).where("d > 0").distinct().collect())
+    none = rows.where(F.col("id").isNull() | F.col("v").isNull() | (F.size("v") == 0)).select(F.col("id").alias("vec_id"), F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return reduce(DataFrame.unionAll, [_classes(rows.where(F.col("id").isNotNull() & (F.size("v") == d)), d, threshold) for d in lengths], none)

@@ -48,8 +48,12 @@ SELECT conv_id, turn, position, n_context, prompt, completion, length(prompt) AS
 
 #: Quadratic, so for small tables only.
 NEAR_VECTORS = """
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
-p AS (SELECT b.vec_id, a.vec_id AS near_id, list_cosine_similarity(a.e, b.e) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95)
-SELECT vec_id, min(near_id) AS near_id, round(arg_min(cosine, near_id), 6) AS cosine FROM p GROUP BY vec_id"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND list_dot_product(e, e) > 0 AND list_dot_product(e, e) < 'inf'::DOUBLE),
+p AS (SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT DISTINCT x AS r, x AS y FROM p UNION SELECT reach.r, p.y FROM reach JOIN p ON reach.y = p.x),
+c AS (SELECT reach.r, min(v.vec_id) AS class_id FROM reach JOIN v ON v.r = reach.y GROUP BY reach.r),
+n AS (SELECT x AS r, count(*) AS n_links FROM p GROUP BY x)
+SELECT vec_id, coalesce(class_id, vec_id) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM v LEFT JOIN c USING (r) LEFT JOIN n USING (r)"""
 
 ORACLES = {"op2_pca_near_vectors": NEAR_VECTORS, "op1_hilbert_sharding": hilbert(), "op3_warc_archive": WARC, "op7_prefix_targets": CHAT, "op8_licence_rules": licences.oracle()}

@@ -43,7 +43,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "keep_text_key")
 
 
 def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_edit_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import repeated_lines
 
-    return repeated_lines(table(spark, sf_dir, "documents"))
+    return repeated_lines(table(spark, sf_dir, "documents")).drop("text_key", "kept_text_key")
 
 
 def op6_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,15 +65,9 @@ def op6_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pca_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .embeddings import near_vectors
+    from .embeddings import vector_classes
 
-    return near_vectors(table(spark, sf_dir, "embeddings"))
+    return vector_classes(table(spark, sf_dir, "embeddings"))
 
 
-def op2_pca_vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .embeddings import vector_pairs
-
-    return vector_pairs(table(spark, sf_dir, "embeddings"))
-
-
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_warc_archive, op7_prefix_targets, op8_licence_rules, op10_fm_decontamination, op4_bbit_minhash, op9_counterfactual_toxicity, op5_edit_line_dedup, op6_bm25_packing, op2_pca_near_vectors, op2_pca_vector_pairs)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_warc_archive, op7_prefix_targets, op8_licence_rules, op10_fm_decontamination, op4_bbit_minhash, op9_counterfactual_toxicity, op5_edit_line_dedup, op6_bm25_packing, op2_pca_near_vectors)}

@@ -40,52 +40,73 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, v) for i, v in rows], "vec_id bigint, embedding array<float>")
 
 
-def plain_near(rows, threshold):
-    unit = {}
+def plain_classes(rows, threshold=0.95):
+    """[(id, class, links)] of every row, by all pairs."""
+    unit = []
     for i, v in rows:
-        x = np.array(v, np.float32).astype(float)
-        if i not in unit:
-            unit[i] = x / np.linalg.norm(x)
-    ids = sorted(unit)
-    return {(b, next(a for a in ids if a < b and unit[a] @ unit[b] >= threshold)) for b in ids if any(a < b and unit[a] @ unit[b] >= threshold for a in ids)}
+        x = None if i is None or not v or any(e is None for e in v) else np.array(v, np.float32).astype(float)
+        norm = 0.0 if x is None else math.sqrt((x * x).sum())
+        unit.append(x / norm if norm > 0 and math.isfinite(norm) else None)
+    near = [[k for k, y in enumerate(unit) if k != n and x is not None and y is not None and len(x) == len(y) and x @ y >= threshold] for n, x in enumerate(unit)]
+    out = []
+    for n, (i, _) in enumerate(rows):
+        seen, todo = {n}, [n]
+        while todo:
+            for k in near[todo.pop()]:
+                if k not in seen:
+                    seen.add(k)
+                    todo.append(k)
+        out.append((i, None if i is None else min(rows[k][0] for k in seen), len(near[n])))
+    return Counter(out)
 
 
-@pytest.mark.parametrize("tile", [7, 1024])
-def test_near_vectors_equal_brute_force(spark, monkeypatch, tile):
-    monkeypatch.setattr(embeddings, "TILE", tile)
-    rng = np.random.default_rng(4)
-    base = rng.normal(size=(60, 24))
-    x = np.concatenate([base, base[:30] + 0.15 * rng.normal(size=(30, 24)), base[:5], 3 * base[:3]])
-    rows = [(i, r.tolist()) for i, r in enumerate(x)]
-    assert {(r.vec_id, r.near_id) for r in embeddings.near_vectors(vectors(spark, rows)).collect()} == plain_near(rows, 0.95)
+def classes(df):
+    return Counter(map(tuple, embeddings.vector_classes(df).collect()))
 
 
 @pytest.mark.parametrize("tile", [7, 1024])
-def test_vector_pairs_equal_brute_force(spark, monkeypatch, tile):
+def test_vector_classes_equal_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(embeddings, "TILE", tile)
     rng = np.random.default_rng(5)
-    base = rng.normal(size=(40, 24))
-    x = np.concatenate([base, base[:20] + 0.15 * rng.normal(size=(20, 24)), base[:20] - 0.15 * rng.normal(size=(20, 24)), base[:5], base[:5], 3 * base[:3]])
-    rows = [(i, r.tolist()) for i, r in enumerate(x)]
-    unit = x.astype(np.float32).astype(float)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    want = sorted((b, a) for b in range(len(x)) for a in range(b) if unit[a] @ unit[b] >= 0.95)
-    assert len(want) > 60 and sorted((r.vec_id, r.near_id) for r in embeddings.vector_pairs(vectors(spark, rows)).collect()) == want
+    base = rng.normal(size=(60, 24))
+    x = np.concatenate([base, base[:20] + 0.15 * rng.normal(size=(20, 24)), base[:20] - 0.15 * rng.normal(size=(20, 24)), base[:5], base[:5], base[:1], base[:1], 3 * base[:3]])
+    rows = [(int(i), r.tolist()) for i, r in zip(rng.integers(0, 90, len(x)), x, strict=True)]
+    rows += [(200 + k, r[:7].tolist()) for k, r in enumerate(base[:5])] + [(300 + k, r[:7].tolist()) for k, r in enumerate(base[:5])]
+    want = plain_classes(rows)
+    assert sum(links > 0 for _, _, links in want) > 30
+    assert classes(vectors(spark, rows).withColumn("id", fn.lit(1)).withColumn("v", fn.lit(2)).repartition(3)) == want
+
+
+def test_vector_classes_follow_sql(spark):
+    import duckdb
+
+    from relaylake.llm import oracles
+
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 16)).astype(np.float32)
+    x = np.concatenate([base, base[:15] + 0.1 * rng.normal(size=(15, 16)).astype(np.float32), base[:4]])
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(90, None), (91, [0.0] * 16), (None, base[0].tolist())]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert classes(vectors(spark, rows)) == Counter(con.execute(oracles.NEAR_VECTORS).fetchall()) == plain_classes(rows)
 
 
-def test_a_hub_has_all_its_pairs(spark):
+def test_a_hub_joins_its_class(spark):
     turned = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees)), 0.0]
     rows = [(1, turned(0)), (2, turned(30)), (3, turned(15))]
-    assert {(r.vec_id, r.near_id) for r in embeddings.vector_pairs(vectors(spark, rows)).collect()} == {(3, 1), (3, 2)}
-    assert embeddings.vector_pairs(vectors(spark, [])).collect() == []
+    assert classes(vectors(spark, rows)) == Counter([(1, 1, 1), (2, 1, 1), (3, 1, 2)])
+    hot = [(5, [1.0, 1.0])] + [(k, [2.0, 1.0, 0.0, 1.0]) for k in range(10, 300)] + [(4, [1.0, 1.0])]
+    assert classes(vectors(spark, hot)) == Counter([(5, 4, 1), (4, 4, 1)] + [(k, 10, 289) for k in range(10, 300)])
+    # Rows that repeat an id with other vectors are compared each.
+    assert classes(vectors(spark, [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (2, [0.0, 1.0, 0.0])])) == Counter([(1, 1, 1), (2, 1, 1), (2, 2, 0)])
 
 
-def test_near_vectors_of_awkward_rows(spark):
+def test_vector_classes_of_awkward_rows(spark):
     v = [1.0, 2.0, 3.0, 4.0]
-    rows = [(1, v), (2, v), (2, v), (3, None), (4, []), (5, [0.0] * 4), (6, [float("nan")] * 4), (7, [1.0, 2.0]), (None, v), (8, [float("inf"), 1.0, 1.0, 1.0]), (9, [-1.0, 5.0, 0.0, 0.0])]
-    assert {(r.vec_id, r.near_id) for r in embeddings.near_vectors(vectors(spark, rows)).collect()} == {(2, 1)}
-    assert embeddings.near_vectors(vectors(spark, [])).collect() == []
-    assert {(r.vec_id, r.near_id) for r in embeddings.near_vectors(vectors(spark, [(1, [2.0]), (2, [1.0])])).collect()} == {(2, 1)}
+    rows = [(1, v), (2, v), (2, v), (3, None), (4, []), (5, [0.0] * 4), (6, [float("nan")] * 4), (7, [1.0, 2.0]), (None, v), (8, [float("inf"), 1.0, 1.0, 1.0]), (9, [-1.0, 5.0, 0.0, 0.0]), (10, [2.0]), (11, [1.0]), (12, [1.0, None]), (13, [1.0] * 900)]
+    assert classes(vectors(spark, rows)) == plain_classes(rows)
+    assert embeddings.vector_classes(vectors(spark, [])).collect() == []
 
 
 def test_estimates_follow_jaccard():
