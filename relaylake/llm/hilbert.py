@@ -6,15 +6,17 @@ given number of bytes. Rows of one run are close in every dimension, so the
 minimum and maximum that a run keeps of each column prune it for filters on any
 of them.
 
-Plan: the statistics are small aggregates; one shuffle moves the rows, by range
-of a coarse curve prefix. The number of bytes before each coarse prefix comes
-from an aggregate of at most 2**COARSE_BITS rows, so the running total along the
-curve needs no single-task window over the data.
+Plan: the statistics are small aggregates; one shuffle moves the rows, by range of
+the index. The number of bytes before each cell of the curve comes from an aggregate
+of at most 2**COARSE_BITS cells, and a cell of more than CELL_BYTES is cut by ranges
+of its ids into as many parts as that takes, so neither a running total over the
+data nor a sort of one crowded cell falls to a single task.
 
 Defined results: a null metadata value lies in cell 0; rows with equal cells are
-ordered by id, then by text; identical rows may swap places; a null text counts
-0 bytes; an empty table gives an empty table; input columns that are called like
-an added one are replaced.
+ordered by id (none first), then by text; identical rows may swap places; a null or
+empty text counts 0 bytes; a text longer than a run has a run of its own or ends
+one, and is never cut; an empty table gives an empty table; input columns that are
+called like an added one are replaced, others may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from pyspark.sql.window import Window
 
 from .common import free_name, replace_columns
 
-COARSE_BITS = 12
+#: The running totals are of so many cells at most (24 bytes each, broadcast), and of the parts of crowded ones.
+COARSE_BITS, CELL_BYTES = 20, 256 << 20
 #: Dictionaries of at most so many values are broadcast; larger ones are joined by a shuffle.
 BROADCAST_VALUES = 100_000
 
@@ -112,24 +115,29 @@ def _cells(df: DataFrame, dims: list[Dim], bits: int) -> tuple[DataFrame, list[s
     return df, names
 
 
-def hilbert_shards(df: DataFrame, dims: list[Dim], *, id_column: str, payload: str, bits: int = 5, target_bytes: int = 128 << 20) -> DataFrame:
+def hilbert_shards(df: DataFrame, dims: list[Dim], *, id_column: str, payload: str, bits: int = 5, target_bytes: int = 128 << 20, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """``df`` in curve order with ``hilbert_index`` and ``shard_id`` (0, 1, ... along the curve)."""
     df = replace_columns(df)
     keep = [c for c in df.columns if c.lower() not in ("hilbert_index", "shard_id")]
     df = df.select(*[F.col(f"`{c}`") for c in keep])
     full, cells = _cells(df, dims, bits)
-    index, coarse, size, offset = (free_name(full, x) for x in ("__index", "__coarse", "__bytes", "__offset"))
+    index, coarse, part, size, offset, run, low, width = (free_name(full, x) for x in ("__index", "__coarse", "__part", "__bytes", "__offset", "__run", "__low", "__width"))
     shift = max(0, bits * len(dims) - COARSE_BITS)
     full = full.withColumn(index, curve_index([F.col(c) for c in cells], bits)).withColumn(coarse, F.shiftright(index, shift))
     full = full.withColumn(size, F.coalesce(F.octet_length(F.col(f"`{payload}`")), F.lit(0)).cast("bigint")).drop(*cells)
-    sums = full.groupBy(coarse).agg(F.sum(size).alias("b"))
-    # At most 2**COARSE_BITS rows whatever the input, so one task and a broadcast hold them.
-    before = Window.orderBy(coarse).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(coarse, F.coalesce(F.sum("b").over(before), F.lit(0)).alias(offset))
-    inside = Window.partitionBy(coarse).orderBy(index, f"`{id_column}`", f"`{payload}`").rowsBetween(Window.unboundedPreceding, -1)
-    moved = full.repartitionByRange(F.col(coarse)).withColumn("__run", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    moved = moved.join(F.broadcast(sums), coarse)
-    return moved.select(*[F.col(f"`{c}`") for c in keep], F.col(index).alias("hilbert_index"), F.expr(f"(`{offset}` + __run) div {target_bytes}").alias("shard_id"))
+    # Inside a cell of one index rows are in order of id, so ranges of the id keep it. Doubles do: they only have to rise with the id.
+    place = F.col(f"`{id_column}`").try_cast("double") if shift == 0 else F.lit(None).cast("double")
+    crowded = full.groupBy(coarse).agg(F.sum(size).alias("b"), F.min(place).alias(low), F.max(place).alias("high")).where((F.col("b") > cell_bytes) & (F.col("high") > F.col(low)))
+    # At most total bytes / cell_bytes rows.
+    crowded = crowded.select(coarse, low, ((F.col("high") - F.col(low)) / F.ceil(F.col("b") / F.lit(cell_bytes))).alias(width))
+    full = full.join(F.broadcast(crowded), coarse, "left").withColumn(part, F.coalesce(F.floor((place - F.col(low)) / F.col(width)), F.lit(-1))).drop(low, width)
+    sums = full.groupBy(coarse, part).agg(F.sum(size).alias("b"))
+    before = Window.orderBy(coarse, part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(coarse, part, F.coalesce(F.sum("b").over(before), F.lit(0)).alias(offset))
+    inside = Window.partitionBy(coarse, part).orderBy(index, f"`{id_column}`", f"`{payload}`").rowsBetween(Window.unboundedPreceding, -1)
+    moved = full.repartitionByRange(F.col(coarse), F.col(part)).withColumn(run, F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    moved = moved.join(F.broadcast(sums), [coarse, part])
+    return moved.select(*[F.col(f"`{c}`") for c in keep], F.col(index).alias("hilbert_index"), F.expr(f"(`{offset}` + `{run}`) div {target_bytes}").alias("shard_id"))
 
 
 def shard_manifest(sharded: DataFrame, columns: list[str]) -> DataFrame:

@@ -23,7 +23,7 @@ c AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, 0 AS st, CAST(0 AS B
       FROM documents d CROSS JOIN e LEFT JOIN {depth('lang')} a ON d.lang = a.v LEFT JOIN {depth('source')} b ON d.source = b.v),
 {', '.join(steps)}
 SELECT doc_id, text, lang, source, n_chars, ix AS hilbert_index,
-  CAST(coalesce(sum(coalesce(strlen(text), 0)) OVER (ORDER BY ix, doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {target_bytes} AS BIGINT) AS shard_id
+  CAST(coalesce(sum(coalesce(strlen(text), 0)) OVER (ORDER BY ix, doc_id NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {target_bytes} AS BIGINT) AS shard_id
 FROM {prior}"""
 
 

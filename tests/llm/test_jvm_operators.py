@@ -5,7 +5,7 @@ import random
 
 import duckdb
 import pytest
-from helpers import awkward, frame, prose
+from helpers import CLASH, awkward, frame, prose
 from pyspark.sql import functions as F
 
 from relaylake.llm import chat, hilbert, licences, oracles, warc
@@ -31,13 +31,16 @@ def shards(df, **kw):
     return hilbert.hilbert_shards(df, DIMS, id_column="doc_id", payload="text", **kw)
 
 
-def test_shards_equal_sql_and_prune(spark):
+@pytest.mark.parametrize("cell", [hilbert.CELL_BYTES, 3000])
+def test_shards_equal_sql_and_prune(spark, cell):
     rng = random.Random(1)
     rows = [(i, prose(rng, rng.randrange(1, 90)), rng.choice(["en", "de", None]), f"s{rng.randrange(5)}", rng.randrange(9000)) for i in range(300)]
+    # A third of the bytes lie in one cell.
+    rows += [(rng.randrange(100), prose(rng, 60), "en", "s1", 500) for _ in range(100)] + [(None, "x" * 9000, "en", "s1", 500)]
     df = frame(spark, rows)
-    got = shards(df, target_bytes=4096)
+    got = shards(df, target_bytes=4096, cell_bytes=cell)
     con = duckdb.connect()
-    documents = df.toPandas()
+    documents = df.toArrow()
     con.register("documents", documents)
     want = con.execute(oracles.hilbert(target_bytes=4096)).fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
@@ -52,6 +55,7 @@ def test_shards_of_awkward_rows(spark):
     got = shards(frame(spark, rows, clash=True), target_bytes=1000).collect()
     assert len(got) == len(rows) and len({c.lower() for c in got[0].asDict()}) == len(got[0])
     assert all(isinstance(r.shard_id, int) and r.hilbert_index >= 0 for r in got)
+    assert [r["__run"] for r in got] == [CLASH["__run"]] * len(rows)
     assert shards(frame(spark, []), target_bytes=1000).collect() == []
 
 
@@ -112,12 +116,34 @@ def test_licences(spark):
     rows = [
         (1, "Prose here.\nReleased under the MIT License.\nMore", None), (2, "Copyright 2020. " + mit.replace(" of this ", "\nof this "), None), (3, bsd + "\n" + licences.SENTENCES["BSD-endorse"][0], None), (4, bsd, None),
         (5, "junk without end\nLicensed under CC BY-NC 4.0.\n", None), (6, "Licensed under the Apache License, Version 2.0. Licensed under the Apache License, Version 2.0.", None), (7, None, None), (8, "", None),
-        (9, "This mentions a license only.", None), (10, "x. " * 50_000 + "All rights reserved.", None), (1, "Prose here.\nReleased under the MIT License.\nMore", None),
+        (9, "This mentions a license only.", None), (11, "Copyright. All rights\nreserved. More", None), (12, "All rights  reserved.", None), (13, "SPDX-License-Identifier: LGPL-2.1-or-later\ncode", None), (14, "Licensed under the ISC License.", None), (10, "x. " * 50_000 + "All rights reserved.", None), (1, "Prose here.\nReleased under the MIT License.\nMore", None),
     ]
     rows = [r[:2] for r in rows]
     got = licences.recognise(frame(spark, rows, clash=True)).collect()
     found = {r.doc_id: r for r in got}
-    assert {i: found[i].licences for i in found} == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: "BSD-2-Clause", 5: "CC-BY-NC-4.0", 6: "Apache-2.0", 10: "all-rights-reserved"}
+    assert {i: found[i].licences for i in found} == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: "BSD-2-Clause", 5: "CC-BY-NC-4.0", 6: "Apache-2.0", 10: "all-rights-reserved", 11: "all-rights-reserved", 12: "all-rights-reserved", 13: "LGPL-2.1-or-later", 14: "ISC"}
     assert sum(r.doc_id == 1 for r in got) == 2
     assert all(found[i].sentence_ids == plain_licences(t) for i, t in rows if i in found)
     assert licences.recognise(frame(spark, [])).collect() == []
+    odd = awkward(random.Random(3))
+    assert licences.recognise(frame(spark, odd, clash=True)).collect() == []
+
+
+def test_whole_licence_texts(spark):
+    """Each rule's own sentences give its licence, and spelling, case and line ends don't matter."""
+    rows, want = [], {}
+    for k, (name, sequence) in enumerate(licences.RULES):
+        text = " ".join(licences.SENTENCES[x][0] + ("" if licences.SENTENCES[x][0][-1] in ".:" else "\n\n") for x in sequence)
+        rows.append((k, f"A title.\n\n{text.upper()} And more.".replace(", ", ",\n\t")))
+        want[k] = name
+    got = {r.doc_id: r.licences for r in licences.recognise(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_licence_sql_follows(spark):
+    rows = [(k, t) for k, t in enumerate(x for texts in licences.SENTENCES.values() for x in texts)] + [(900, None), (901, ""), (902, "All rights\nreserved. " * 3)]
+    df = frame(spark, rows)
+    con = duckdb.connect()
+    documents = df.toArrow()
+    con.register("documents", documents)
+    assert sorted(map(tuple, licences.recognise(df).collect())) == sorted(con.execute(licences.oracle()).fetchall())
