@@ -51,6 +51,84 @@ def test_a_mention_alone_moves_less_with_the_penalty():
     assert gaps[1] < 0.5 * gaps[0]
 
 
+def plain_loss(w, labels, rows, pairs, chosen, fairness=1.0, l1=2e-4, l2=2e-4):
+    """The loss that the fit minimises, with dense rows; and its gradient without the penalty on sizes."""
+    at = {f: k for k, f in enumerate(chosen)}
+    x = np.zeros((len(rows), len(chosen) + 1))
+    x[:, -1] = 1
+    for n, r in enumerate(rows):
+        x[n, [at[f] for f in r.tolist() if f in at]] = 1
+    d = np.zeros((len(pairs), len(chosen) + 1))
+    for n, (a, b) in enumerate(pairs):
+        for f in set(a.tolist()) ^ set(b.tolist()):
+            if f in at:
+                d[n, at[f]] = 1 if f in set(a.tolist()) else -1
+    y = np.where(labels > 0, 1, -1)
+    share = np.where(labels > 0, 0.5 / (labels > 0).sum(), 0.5 / (labels <= 0).sum())
+
+    def value(v):
+        return share @ np.log1p(np.exp(-y * (x @ v))) + fairness * ((d @ v) ** 2).mean() + l1 * np.abs(v[:-1]).sum() + l2 / 2 * (v[:-1] ** 2).sum()
+
+    def slope(v):
+        return x.T @ (share * -y / (1 + np.exp(y * (x @ v)))) + fairness * 2 / len(d) * d.T @ (d @ v) + l2 * np.append(v[:-1], 0)
+
+    step = 1 / (0.25 * np.linalg.eigvalsh(x.T @ (share[:, None] * x)).max() + fairness * 2 / len(d) * np.linalg.eigvalsh(d.T @ d).max() + l2)
+    return value, slope, step
+
+
+@pytest.mark.parametrize("words", [(30, 200), (900, 1200)])
+def test_fit_reaches_the_least_loss(words):
+    rng = random.Random(161)
+    rows, labels = [], []
+    for i in range(120):
+        text = [f"w{rng.randrange(1500)}" for _ in range(rng.randrange(*words))]
+        bad = i % 4 == 0
+        text += ["idiot", "muslim"] if bad else ["muslim"] if i % 9 == 0 else []
+        rows.append(" ".join(text))
+        labels.append(int(bad))
+    features, y = toxicity.distinct_features(rows), np.array(labels)
+    neutral = [toxicity.distinct_features([t.format(x) for x in group for t in toxicity.TEMPLATES]) for group in toxicity.IDENTITY_TERMS]
+    pairs = [(g[i], g[i + len(toxicity.TEMPLATES)]) for g in neutral for i in range(len(g) - len(toxicity.TEMPLATES))]
+    model = toxicity.fit(y, features, [], steps=4000)
+    # Its own choice of features, with zeros where the fit left them out.
+    chosen = sorted({f for r in features for f in r.tolist()} & set(model.features.tolist()))
+    value, slope, step = plain_loss(None, y, features, pairs, chosen)
+    v = np.zeros(len(chosen) + 1)
+    for _ in range(20_000):
+        v = v - step * slope(v)
+        v[:-1] = np.sign(v[:-1]) * np.maximum(np.abs(v[:-1]) - step * 2e-4, 0)
+    mine = np.append(model.weights, model.intercept)
+    assert value(mine) <= value(v) * 1.02 + 1e-4
+    assert ((toxicity.scores(__import__("pyarrow").array(rows), model) >= 0.5) == (y == 1)).mean() > 0.97
+
+
+def test_scores_equal_a_plain_sum():
+    rng = random.Random(162)
+    rows, labels = labelled(rng, 300)
+    texts = [t for _, t in rows] + ["", None, "İ ß idiot", rows[0][1] * 40, rows[1][1]]
+    model = toxicity.fit(np.array([x for _, x in labels]), toxicity.distinct_features([t for _, t in rows]), [])
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    import pyarrow as pa
+
+    want = [1 / (1 + np.exp(-np.clip(model.intercept + sum(weight.get(f, 0) for f in own.tolist()), -30, 30))) for own in toxicity.distinct_features([t or "" for t in texts])]
+    assert np.allclose(toxicity.scores(pa.array(texts), model), want)
+
+
+def test_one_text_of_a_labelled_id_is_learnt_from(spark):
+    rows, labels = labelled(random.Random(163), 200)
+    given = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    once = toxicity.train(frame(spark, rows), given)
+    often = toxicity.train(frame(spark, rows + rows[:50] * 3), given)
+    assert (once.features == often.features).all() and np.allclose(once.weights, often.weights)
+
+
+def test_toxicity_of_awkward_rows(spark):
+    rows, labels = labelled(random.Random(164), 200)
+    given = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    odd = [(None if r[0] is None else r[0] + 1000, *r[1:]) for r in awkward(random.Random(165))]
+    assert {r.doc_id for r in toxicity.toxic_documents(frame(spark, rows + odd, clash=True), given).collect()} == {i for i, t in labels if t}
+
+
 def test_toxic_documents(spark):
     rows, labels = labelled(random.Random(18), 600, 0.3)
     extra = [(1000, None), (1001, ""), (1002, "You idiot scum, moron trash, " + rows[1][1]), (1002, "You idiot scum, moron trash, " + rows[1][1]), (1003, rows[1][1] * 30)]
@@ -143,11 +221,29 @@ def test_decontamination_stage(spark, corpus, tmp_path):
             assert got[i].text == t
 
 
-def test_whole_pipeline(spark, corpus):
+def test_whole_pipeline_equals_brute_force(spark, corpus):
+    """Each stage by hand, one after another; the classifier is the one that the first stage fits."""
     path, full, labels, *_ = corpus
-    rows = corpus_pipeline.run(spark, path).collect()
-    placed = {i for r in rows for i in r.doc_ids}
-    assert placed and not any(labels.get(i) for i in placed) and max(r.n_words for r in rows) <= 4096
+    import pyarrow as pa
+    from test_search_operators import plain_contamination, plain_groups, plain_packing, plain_repeated
+
+    model = toxicity.train(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+    rows = [(i, t) for (i, t, *_), score in zip(full, toxicity.scores(pa.array([t for _, t, *_ in full]), model), strict=True) if score < toxicity.THRESHOLD]
+    assert not any(labels.get(i) for i, _ in rows)
+    cut = {}
+    for doc, _, line, *_ in plain_repeated(rows, 2, 12):
+        cut.setdefault(doc, set()).add(line)
+    shorter = [(i, t if i not in cut else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in cut[i])) for i, t in rows]
+    rows = [(i, t) for i, t in shorter if i not in cut or t.strip()]
+    gone = plain_groups(rows, 0.5)
+    rows = [r for r in rows if r not in gone]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
+    hits = plain_contamination(rows, items)
+    rows = [(i, " ".join(hits[n][1]) if n in hits else t) for n, (i, t) in enumerate(rows)]
+    rows = [(i, t) for n, (i, t) in enumerate(rows) if n not in hits or words_of(t)]
+    assert cut and gone and hits
+    got = [[(p.doc_id, p.first_word, p.last_word) for p in r.pieces] for r in corpus_pipeline.run(spark, path).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, plain_packing(rows, 4096)))
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
