@@ -61,7 +61,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("MinHash near-dedup", minhash_dedup), ("benchmark decontamination", decontamination), ("packing", packing)]
 
-#: The classifier, the sketches and the greedy packing have no SQL form; the tests hold each stage against brute force.
+#: The classifier, the sketches and the greedy packing have no SQL form; the tests hold run() against all five stages done by hand.
 ORACLE_SQL = None
 
 
