@@ -37,7 +37,9 @@ def request_batch(visible: DataFrame, named: dict[str, Filter], *, auth_pubkeys:
     met = F.array_compact(F.array(*[F.when(f.predicate(), F.struct(F.lit(name).alias("sub_id"), F.lit(f.clamped(limits.max_limit)).alias("n"))) for name, f in named.items()]))
     rows = visible.where(gift_wrap_visible(auth_pubkeys)).select(F.explode(met).alias("m"), *visible.columns)
     w = Window.partitionBy("m.sub_id").orderBy(F.desc("seq"))
-    top = rows.withColumn("__n", F.row_number().over(w)).where("__n <= m.n")
+    # A constant bound first: Spark turns it into a limit of each task, before the shuffle.
+    most = max([f.clamped(limits.max_limit) for f in named.values()], default=0)
+    top = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= F.lit(most)).where("__n <= m.n")
     return top.select("m.sub_id", *visible.columns)
 
 
@@ -68,6 +70,8 @@ def over_cap(found: DataFrame, cap: int) -> bool:
 
 def latency_summary(samples: DataFrame, column: str) -> DataFrame:
     """p50, p99 and mean, by the element at length * p / 100."""
-    ordered = samples.agg(F.sort_array(F.collect_list(column)).alias("s"), F.avg(column).alias("mean"))
-    at = lambda p: F.get("s", F.least(F.floor(F.size("s") * p / 100), F.size("s") - 1).cast("int"))
-    return ordered.select(at(50).alias("p50"), at(99).alias("p99"), "mean")
+    # Counted by value, so one row a distinct latency is ranked, and no list of samples is made.
+    counts = samples.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.select("v", "n", F.sum("n").over(Window.orderBy("v")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("total") * p / 100), F.col("total") - 1), F.col("v")))
+    return upto.agg(at(50).alias("p50"), at(99).alias("p99"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))

@@ -58,12 +58,22 @@ def with_version_rank(log: DataFrame) -> DataFrame:
     return log.withColumn("version_rank", F.row_number().over(w))
 
 
+def version_rank() -> Column:
+    """Rises with the version: by time, then by falling id."""
+    return F.struct("created_at", F.translate("id", "0123456789abcdef", "fedcba9876543210").alias("r"))
+
+
+def newer_before() -> Column:
+    """Whether a newer version of the same key came before."""
+    before = Window.partitionBy(*_version_key()).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.max(version_rank()).over(before) > version_rank(), F.lit(False))
+
+
 def version_status(log: DataFrame) -> DataFrame:
     """Add version_status in order of arrival: current, superseded (stored, replaced later) or rejected (older on arrival)."""
     before = Window.partitionBy(*_version_key()).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*_version_key()).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    # The larger of (created_at, reversed id): an id sorts last where it is lowest.
-    rank = F.struct("created_at", F.translate("id", "0123456789abcdef", "fedcba9876543210").alias("r"))
+    rank = version_rank()
     older = F.coalesce(F.max(rank).over(before) >= rank, F.lit(False))
     replaced = F.coalesce(F.max(rank).over(after) > rank, F.lit(False))
     return log.withColumn("version_status", F.when(older, "rejected").when(replaced, "superseded").otherwise("current"))

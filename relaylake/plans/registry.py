@@ -13,6 +13,7 @@ from ..operators import compact, negentropy, query, state
 from ..operators.fanout import Subscription, deliver
 from ..sources import catalog
 from ..sources.catalog import NOW
+from ..schema import EVENT_COLUMNS
 from ..storage import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,21 +373,70 @@ def compact_retained(spark, sf_dir):
     return compact.retained(catalog.stored(spark, sf_dir, extended=True), NOW).select("seq", "id")
 
 
+_ARRIVED = """, arrived AS (SELECT seq, id, pubkey, created_at, kind, expiry, kind_class, k, coalesce(d_value, '') AS d FROM ev UNION ALL SELECT seq + 10000000, id, pubkey, created_at, kind, expiry, kind_class, k, coalesce(d_value, '') FROM ev WHERE seq % 4 = 0),
+live AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS nth FROM arrived WHERE {live}),
+older AS (SELECT DISTINCT a.id FROM live a JOIN live b ON a.pubkey = b.pubkey AND a.kind = b.kind AND a.d = b.d AND b.seq < a.seq AND (b.created_at > a.created_at OR (b.created_at = a.created_at AND b.id < a.id)) WHERE a.kind_class IN ('replaceable', 'addressable') AND a.nth = 1),
+stored AS (SELECT * FROM live WHERE nth = 1 AND id NOT IN (SELECT id FROM older))"""
+_IMPORT_NOW = 1_704_500_000
+_OPEN = f"(expiry IS NULL OR expiry > {_IMPORT_NOW})"
+
+
 @register(
-    """, arrived AS (SELECT seq, id, pubkey, created_at, kind, expiry, kind_class, coalesce(d_value, '') AS d FROM ev UNION ALL SELECT seq + 10000000, id, pubkey, created_at, kind, expiry, kind_class, coalesce(d_value, '') FROM ev WHERE seq % 4 = 0),
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS nth FROM arrived)),
-fresh AS (SELECT * FROM firsts WHERE nth = 1 AND (expiry IS NULL OR expiry > 1704500000)),
-older AS (SELECT DISTINCT a.seq FROM fresh a JOIN fresh b ON a.pubkey = b.pubkey AND a.kind = b.kind AND a.d = b.d AND b.seq < a.seq AND (b.created_at > a.created_at OR (b.created_at = a.created_at AND b.id <= a.id)) WHERE a.kind_class IN ('replaceable', 'addressable'))
-SELECT (SELECT count(*) FROM fresh) - (SELECT count(*) FROM older) AS imported, (SELECT count(*) FROM firsts WHERE nth > 1) AS duplicates,
-  (SELECT count(*) FROM firsts WHERE nth = 1) - (SELECT count(*) FROM fresh) + (SELECT count(*) FROM older) AS failures"""
+    _ARRIVED.format(live=_OPEN)
+    + """
+SELECT (SELECT count(*) FROM stored) AS imported, (SELECT count(*) FROM live WHERE nth > 1 AND id NOT IN (SELECT id FROM older)) AS duplicates,
+  (SELECT count(*) FROM arrived) - (SELECT count(*) FROM live) + (SELECT count(*) FROM live WHERE id IN (SELECT id FROM older)) AS failures"""
 )
 def import_tallies(spark, sf_dir):
-    """Tallies of an import in which every fourth event comes again."""
+    """Tallies of an import in which every fourth event comes again: expired and outdated ones fail each time."""
     from ..sources.jsonl import tallies, with_status
 
     events = catalog.protocol_events(spark, sf_dir).withColumn("reason", F.lit(""))
     again = events.where("seq % 4 = 0").withColumn("seq", F.col("seq") + 10_000_000)
-    return tallies(with_status(events.unionAll(again), 1_704_500_000, policy="import"))
+    return tallies(with_status(events.unionAll(again), _IMPORT_NOW, policy="import"))
+
+
+@register(
+    _ARRIVED.format(live=_OPEN)
+    + """
+SELECT CASE WHEN e.id IN (SELECT id FROM stored) THEN 'duplicate' ELSE 'rejected' END AS status,
+  CASE WHEN e.id IN (SELECT id FROM stored) THEN 'duplicate: already have this event' WHEN e.id IN (SELECT id FROM older) THEN 'duplicate: older version' ELSE 'error: internal store error' END AS reason, count(*) AS count
+FROM ev e GROUP BY ALL"""
+)
+def import_twice(spark, sf_dir):
+    """What becomes of a file that is imported into a log that holds it already."""
+    from ..sources.jsonl import with_status
+    from ..storage import materialise
+
+    events = catalog.protocol_events(spark, sf_dir).withColumn("reason", F.lit(""))
+    log = materialise(with_status(events, _IMPORT_NOW, policy="import").where("status = 'accepted'").select(*EVENT_COLUMNS))
+    second = with_status(events.withColumn("seq", F.col("seq") + 10_000_000), _IMPORT_NOW, policy="import", stored=log)
+    return second.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("count"))
+
+
+_SHUT = "kind = 1 AND k % 25 = 0"
+
+
+@register(
+    _ARRIVED.format(
+        live=f"{_OPEN} AND kind_class <> 'ephemeral' AND NOT ({_SHUT}) AND NOT EXISTS (SELECT 1 FROM (SELECT pubkey AS p, min(seq) AS v FROM ev WHERE kind = 62 GROUP BY pubkey) WHERE p = arrived.pubkey AND arrived.seq > v)"
+    )
+    + f""", late AS (SELECT a.seq FROM arrived a JOIN van v ON a.pubkey = v.pubkey WHERE a.seq > v.vanish_seq)
+SELECT status, reason, count(*) AS count FROM (
+  SELECT CASE WHEN a.seq IN (SELECT seq FROM late) OR {_SHUT} THEN 'rejected' WHEN kind_class = 'ephemeral' THEN 'ephemeral' WHEN NOT {_OPEN} OR id IN (SELECT id FROM older) THEN 'rejected'
+    WHEN a.seq IN (SELECT seq FROM stored) THEN 'accepted' ELSE 'duplicate' END AS status,
+  CASE WHEN a.seq IN (SELECT seq FROM late) THEN 'blocked: pubkey vanished' WHEN {_SHUT} THEN 'auth-required: protected event' WHEN kind_class = 'ephemeral' THEN '' WHEN NOT {_OPEN} THEN 'error: internal store error'
+    WHEN id IN (SELECT id FROM older) THEN 'duplicate: older version' WHEN a.seq IN (SELECT seq FROM stored) THEN '' ELSE 'duplicate: already have this event' END AS reason
+  FROM arrived a) GROUP BY ALL""",
+    extended=True,
+)
+def policy_outcomes(spark, sf_dir):
+    """How the relay answers each event, every fourth coming again: by status and reason."""
+    from ..sources.jsonl import with_status
+
+    events = catalog.protocol_events(spark, sf_dir, extended=True).withColumn("reason", F.lit(""))
+    again = events.where("seq % 4 = 0").withColumn("seq", F.col("seq") + 10_000_000)
+    return with_status(events.unionAll(again), _IMPORT_NOW).groupBy("status", "reason").agg(F.count(F.lit(1)).alias("count"))
 
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> str:
@@ -435,13 +485,26 @@ def stream_dedup(spark, sf_dir):
     return spark.read.schema("seq bigint, id string").parquet(out)
 
 
-@register()
+@register("SELECT CAST(i // 2 + 1 AS INT) AS secret, sha256(CAST(i // 2 + 1 AS VARCHAR)) AS id, i % 2 = 0 AS valid FROM range(32) r(i)")
 def schnorr_verify_vectors(spark, sf_dir):
-    """Signatures by 16 keys over event ids, each also with one bit turned."""
+    """Signatures by 16 keys over event ids, each also with one bit turned; the second of each pair is not valid."""
     rows = []
     for secret in range(1, 17):
         message = bytes.fromhex(sha_text(secret))
         key, sig = bip340.public_key(secret), bip340.sign(secret, message)
         rows += [(secret, key.hex(), message.hex(), sig.hex()), (secret, key.hex(), message.hex(), (sig[:-1] + bytes([sig[-1] ^ 1])).hex())]
     df = spark.createDataFrame(rows, "secret int, pubkey string, id string, sig string")
-    return df.withColumn("valid", bip340.verify_udf()("pubkey", "id", "sig"))
+    return df.withColumn("valid", bip340.verify_udf()("pubkey", "id", "sig")).select("secret", "id", "valid")
+
+
+@register("SELECT seq % 5 <> 4 AS valid, CASE WHEN seq % 5 = 4 THEN 'invalid: bad signature' ELSE '' END AS reason, count(*) AS count FROM ev WHERE seq % 16 = 0 AND created_at >= 0 GROUP BY ALL")
+def signed_lines_validated(spark, sf_dir):
+    """JSON lines of one event in sixteen, truly signed by 16 keys, every fifth by a wrong one: parsed, ids made anew, signatures verified."""
+    from ..sources.jsonl import parse_lines
+
+    c = F.col
+    events = catalog.protocol_events(spark, sf_dir).where("seq % 16 = 0").withColumn("pubkey", bip340.key_udf()(c("seq")))
+    events = events.withColumn("id", scalars.event_id(c("pubkey"), c("created_at"), c("kind"), c("tags"), c("content"))).withColumn("sig", bip340.sign_udf()(c("seq"), c("id")))
+    lines = events.select("seq", F.regexp_extract(scalars.event_frame(F.lit("x")), r'(?s)^\["EVENT","x",(.*)\]$', 1).alias("line"))
+    done = parse_lines(lines, 2 * NOW)
+    return done.groupBy((F.col("reason") == "").alias("valid"), "reason").agg(F.count(F.lit(1)).alias("count"))

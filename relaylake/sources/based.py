@@ -7,20 +7,27 @@ where each begins. Both start with the same four bytes.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..protocol import quote
 from ..schema import EVENT
 
 MAGIC = bytes([0xBA, 0x53, 0xED, 0x01])
-INDEX = struct.Struct("<QqqHxxxxxx32s28x")
+INDEX = struct.Struct("<QqqHxx32s32s")
+#: Record sizes: this one, and that of files made before expiry was kept.
+OLD_INDEX_SIZE = INDEX.size - 8
 HEAD = struct.Struct("<32s32s64sqH")
 DATA_FILE, INDEX_FILE = "data.n", "index.o"
 
 
+_WHOLE = re.compile(r"[+-]?[0-9]+")
+
+
 class CodecError(ValueError):
     pass
 
@@ -101,6 +108,26 @@ def deserialize(data: bytes) -> dict:
     return dict(zip(("id", "pubkey", "sig"), (x.hex() for x in ids), strict=True)) | {"created_at": created_at, "kind": kind, "tags": tags, "content": content}
 
 
+def expiry_of(tags: list[list[str]]) -> int:
+    """The time of the first expiration tag that holds a whole number, or 0."""
+    for t in tags:
+        if len(t) > 1 and t[0] == "expiration" and _WHOLE.fullmatch(t[1]) and -(2**63) <= int(t[1]) < 2**63:
+            return int(t[1])
+    return 0
+
+
+def index_record(event: dict, offset: int) -> bytes:
+    """Offset, time, expiry (0 for none), kind, id and author of an event, in 92 bytes."""
+    return INDEX.pack(offset, event["created_at"], expiry_of(event["tags"]), event["kind"], bytes.fromhex(event["id"]), bytes.fromhex(event["pubkey"]))
+
+
+def frame_of(data: bytes, sub_id: str) -> str:
+    """The ["EVENT", sub_id, event] message of a stored event, straight from its bytes."""
+    e = deserialize(data)
+    tags = ",".join("[" + ",".join(map(quote, t)) + "]" for t in e["tags"])
+    return f'["EVENT",{quote(sub_id)},{{"id":"{e["id"]}","pubkey":"{e["pubkey"]}","created_at":{e["created_at"]},"kind":{e["kind"]},"tags":[{tags}],"content":{quote(e["content"])},"sig":"{e["sig"]}"}}]'
+
+
 def created_at_of(data: bytes) -> int:
     return struct.unpack_from("<q", data, 128)[0]
 
@@ -120,9 +147,12 @@ class BinaryReader(DataSourceReader):
         with open(f"{path}/{INDEX_FILE}", "rb") as f:
             if f.read(4) != MAGIC:
                 raise CodecError("index file without header")
+        with open(f"{path}/{DATA_FILE}", "rb") as f:
+            if f.read(4) != MAGIC:
+                raise CodecError("data file without header")
         size = os.path.getsize(f"{path}/{INDEX_FILE}") - 4
         if size % INDEX.size:
-            raise CodecError("index file of an older layout")
+            raise CodecError("index file of an older layout" if size % OLD_INDEX_SIZE == 0 else "index file with a broken record")
         self.count = size // INDEX.size
 
     def partitions(self) -> list[InputPartition]:
@@ -171,8 +201,8 @@ class BinaryWriter(DataSourceWriter):
             data.write(MAGIC)
             index.write(MAGIC)
             for _, blob in heapq.merge(*[records(m.path) for m in messages if m], key=lambda r: r[0]):
-                ids, created_at, kind = HEAD.unpack_from(blob)[:3], *HEAD.unpack_from(blob)[3:]
-                index.write(INDEX.pack(data.tell(), created_at, 0, kind, ids[0]))
+                event = deserialize(blob)
+                index.write(index_record(event, data.tell()))
                 data.write(blob)
         self.abort(messages)
 

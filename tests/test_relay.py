@@ -242,6 +242,12 @@ def test_import_and_policy(spark, tmp_path):
     got = jsonl.import_jsonl(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "log"), NOW).first()
     assert tuple(got) == (6, 1, 4)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 6
+    # The same file again, with a newer and an older profile and a line of blanks: what is stored is known.
+    newer = signed(1, 0, 300)
+    (tmp_path / "more.jsonl").write_text("\n".join([*lines, " \t\u00a0 ", json.dumps(signed(1, 0, 250)), json.dumps(newer), json.dumps(newer)]))
+    assert tuple(jsonl.import_jsonl(spark, str(tmp_path / "more.jsonl"), str(tmp_path / "log"), NOW).first()) == (2, 8, 4)
+    kept = spark.read.parquet(str(tmp_path / "log")).collect()
+    assert len({r.id for r in kept}) == len({r.seq for r in kept}) == len(kept) == 8
     parsed = jsonl.parse_lines(jsonl.numbered_lines(spark, str(tmp_path / "in.jsonl")), NOW)
     by = {(r.id, r.seq): (r.status, r.reason) for r in jsonl.with_status(parsed, NOW).collect()}
     of = lambda e: sorted(v for (i, _), v in by.items() if i == e["id"])
@@ -253,6 +259,69 @@ def test_import_and_policy(spark, tmp_path):
     assert {r.reason for r in small.collect()} >= {"invalid: too many tags", "invalid: content too long", "invalid: not valid JSON"}
 
 
+def plain_outcomes(events, now, stored=()):
+    """The relay's answers, one event after another."""
+    known, best, gone, out = set(), {}, set(), []
+    rank = lambda e: (e["created_at"], [-int(x, 16) for x in e["id"]])
+    key = lambda e: (e["pubkey"], e["kind"])
+    for old in stored:
+        known.add(old["id"])
+        best[key(old)] = max(best.get(key(old), rank(old)), rank(old))
+        if old["kind"] == 62:
+            gone.add(old["pubkey"])
+    for e in events:
+        expiry = next((int(t[1]) for t in e["tags"] if t[0] == "expiration"), None)
+        if e["pubkey"] in gone:
+            out.append("blocked: pubkey vanished")
+        elif ["-"] in e["tags"]:
+            out.append("auth-required: protected event")
+        elif expiry is not None and expiry <= now:
+            out.append("error: internal store error")
+        elif e["id"] in known:
+            out.append("duplicate: already have this event")
+        elif e["kind"] == 0 and best.get(key(e), rank(e)) > rank(e):
+            out.append("duplicate: older version")
+        else:
+            known.add(e["id"])
+            best[key(e)] = rank(e)
+            if e["kind"] == 62:
+                gone.add(e["pubkey"])
+            out.append("")
+    return out
+
+
+def test_outcomes_equal_a_sequential_relay(spark):
+    rng = random.Random(77)
+    rows = []
+    for _ in range(300):
+        tags = rng.choice([[], [], [], [["-"]], [["expiration", "1"]]])
+        e = {"pubkey": f"{rng.randrange(6):064x}", "created_at": rng.randrange(8), "kind": rng.choice([0, 0, 0, 1, 62]) if rng.random() < 0.9 else 1, "tags": tags, "content": str(rng.randrange(3))}
+        rows.append({"id": protocol.event_id(e), "sig": "0" * 128} | e)
+    for before in (0, 100):
+        stored = [e for e, said in zip(rows[:before], plain_outcomes(rows[:before], NOW), strict=True) if said == ""]
+        df = log(spark, rows[before:]).select(*EVENT.fieldNames()).withColumn("reason", F.lit(""))
+        old = log(spark, stored).select(*EVENT.fieldNames()) if before else None
+        got = [r.reason for r in jsonl.with_status(df, NOW, stored=old).orderBy("seq").collect()]
+        assert got == plain_outcomes(rows[before:], NOW, stored)
+
+
+def test_index_record_and_frames():
+    e = signed(3, 1, 1234, [["expiration", "99"], ["t", 'a"b\n']], "hi\u0001")
+    record = based.index_record(e, 4)
+    assert len(record) == 92 and record[:8] == (4).to_bytes(8, "little") and record[8:16] == (1234).to_bytes(8, "little") and record[16:24] == (99).to_bytes(8, "little")
+    assert record[24:28] == b"\x01\0\0\0" and record[28:60].hex() == e["id"] and record[60:].hex() == e["pubkey"]
+    for compress in (True, False):
+        name, sub, said = json.loads(based.frame_of(based.serialize(e, compress), 'x"y'))
+        assert (name, sub) == ("EVENT", 'x"y') and said == e
+
+
+def test_batched_requests_limit_before_the_shuffle(spark):
+    rows = log(spark, [signed(1, 1, k) for k in range(12)])
+    found = query.request_batch(rows, {"a": Filter(kinds=[1], limit=2), "b": Filter(limit=5), "c": Filter(limit=0)})
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.sub_id, r.seq) for r in found.collect()) == [("a", 10), ("a", 11), ("b", 7), ("b", 8), ("b", 9), ("b", 10), ("b", 11)]
+
+
 @settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.text(max_size=200), min_size=1, max_size=4), max_size=5), st.text(max_size=300), st.integers(-(2**63), 2**63 - 1), st.integers(0, 65535))
 def test_binary_codec_round_trip(tags, content, created_at, kind):
