@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialise, strings, text_batches
-from .textscan import chunks, lowered, mix, words
+from .textscan import Lookup, chunks, distinct_words, lowered, mix, words
 
 WINDOW, SHARD_BYTES, K1, B = 4096, 16 << 20, 1.2, 0.75
 #: Ids divisible by STRIDE are queries against the whole corpus, which return NEIGHBOURS documents.
@@ -58,6 +58,12 @@ NOTHING = -(1 << 63)
 LOT_BYTES = 16 << 20
 #: Seeds searched together, and terms of more than so small a share of the documents are multiplied as a matrix.
 SEEDS, COMMON = 256, 1 / 16
+#: Bytes of text that are indexed and searched together; a longer text by itself.
+SEARCH_BYTES = 8 << 20
+#: So many neighbours are ranked before the others.
+HEAD = 128
+#: Places of so many rows (32 bytes each) are looked up by a broadcast; more by a shuffled join.
+BROADCAST_PLACES = 1_000_000
 
 PACKED = "shard_id bigint, window_no bigint, seed_doc_id bigint, doc_ids array<bigint>, pieces array<struct<doc_id: bigint, first_word: bigint, last_word: bigint, score: double>>, n_words bigint, text string"
 TERMS = "shard bigint, term bigint"
@@ -82,15 +88,9 @@ def _pairs(texts: pa.ChunkedArray, order: np.ndarray) -> tuple[np.ndarray, np.nd
     parts, length = [], np.zeros(len(order), np.int64)
     for first, data, offsets in _runs(texts, order):
         hashes, _, _, bounds = words(data, offsets)
-        count = np.diff(bounds)
-        length[first : first + len(count)] = count
-        doc = np.repeat(np.arange(first, first + len(count), dtype=np.int32), count)
-        by = np.lexsort((hashes, doc))
-        hashes, doc = hashes[by], doc[by]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-        at = np.flatnonzero(new)
-        parts.append((hashes[at], doc[at], np.diff(np.append(at, len(doc))).astype(np.int32)))
+        length[first : first + len(offsets) - 1] = np.diff(bounds)
+        some, doc, count = distinct_words(hashes, bounds)
+        parts.append((some, doc + np.int32(first), count))
     joined = []
     for k, kind in enumerate((np.uint64, np.int32, np.int32)):
         joined.append(np.concatenate([np.zeros(0, kind), *[x[k] for x in parts]]))
@@ -177,12 +177,8 @@ def pack_shard(n: int, pairs: list[np.ndarray], df_terms: np.ndarray, df: np.nda
     order = np.argsort(df_terms)
     df_terms, df = df_terms[order], df[order]
     if len(df_terms):
-        term, keep = np.empty(len(hashes), np.int32), np.empty(len(hashes), bool)
-        for at in range(0, len(hashes), 1 << 18):
-            part = slice(at, at + (1 << 18))
-            term[part] = np.minimum(np.searchsorted(df_terms, hashes[part]), len(df_terms) - 1)
-            keep[part] = df_terms[term[part]] == hashes[part]
-        term, doc, count = term[keep], doc[keep], count[keep]
+        keep, term = Lookup(df_terms).find(hashes)
+        doc, count = doc[keep], count[keep]
         del keep
     else:
         term, doc, count = (np.zeros(0, np.int32) for _ in range(3))
@@ -214,17 +210,28 @@ def pack_shard(n: int, pairs: list[np.ndarray], df_terms: np.ndarray, df: np.nda
         if left and room:
             score = index.scores(query_terms[query_ends[seed] : query_ends[seed + 1]])
             open_ = np.flatnonzero(~used[index.alive] & (score > 0) & (rest[index.alive] <= room))
-            # Alive documents are in order of id, so a stable sort breaks ties by id.
-            ranked = open_[np.argsort(-score[open_], kind="stable")]
-            need, at = rest[index.alive[ranked]], 0
-            while at < len(ranked):
-                fits = need[at:] <= room
-                step = int(fits.argmax())
-                if not fits[step]:
+            # Alive documents are in order of id, so a stable sort breaks ties by id. The best come first; the rest is ranked only if it is needed.
+            if len(open_) > 4 * HEAD:
+                high = score[open_] >= np.partition(score[open_], len(open_) - HEAD)[len(open_) - HEAD]
+                parts = [open_[high], open_[~high]]
+            else:
+                parts = [open_]
+            for part in parts:
+                ranked = part[np.argsort(-score[part], kind="stable")]
+                need, at = rest[index.alive[ranked]], 0
+                while at < len(ranked):
+                    fits = need[at:] <= room
+                    step = int(fits.argmax())
+                    if not fits[step]:
+                        break
+                    at += step
+                    room -= take(made, int(index.alive[ranked[at]]), float(score[ranked[at]]))
+                    at += 1
+                if not room:
                     break
-                at += step
-                room -= take(made, int(index.alive[ranked[at]]), float(score[ranked[at]]))
-                at += 1
+                # Only what still fits is worth ranking.
+                if part is not parts[-1]:
+                    parts[-1] = parts[-1][rest[index.alive[parts[-1]]] <= room]
         out.append(made)
         if left and left * 2 < len(index.alive):
             index.shrink(used)
@@ -247,7 +254,16 @@ def pack_shard(n: int, pairs: list[np.ndarray], df_terms: np.ndarray, df: np.nda
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, with the terms of seeds, and one for each term of a batch with its document count."""
+    """A row for each document, with the terms of seeds, and rows for the terms of the task with their document counts."""
+    names, lists = [c.split()[0] for c in PROFILE.split(", ")], pa.list_(pa.int64())
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def counted() -> pa.RecordBatch:
+        unique, place = np.unique(np.concatenate([u for u, _ in held]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([c for _, c in held]), len(unique)).astype(np.int64)
+        none = lambda kind: pa.nulls(len(unique), kind)
+        return pa.RecordBatch.from_arrays([*[none(pa.int64())] * 6, none(lists), pa.array(unique.view(np.int64)), pa.array(n)], names=names)
+
     for batch in batches:
         rows, seeds = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
         least = mix(rows.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
@@ -265,20 +281,16 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 second[first + have] = np.minimum.reduceat(mix(hashes[long] + np.uint64(0xD6E8FEB86659FD93)), ends[have])
             for d in np.flatnonzero(seeds[first:last] & (np.diff(bounds) > 0)).tolist():
                 own[first + d] = np.unique(hashes[bounds[d] : bounds[d + 1]]).view(np.int64)
-            doc = np.repeat(np.arange(last - first), np.diff(bounds))
-            by = np.lexsort((doc, hashes))
-            hashes, doc = hashes[by], doc[by]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-            terms.append(hashes[new])
-        unique, n = np.unique(np.concatenate(terms) if terms else np.zeros(0, np.uint64), return_counts=True)
+            terms.append(distinct_words(hashes, bounds)[0])
+        held.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]), return_counts=True))
         none = lambda kind: pa.nulls(len(rows), kind)
-        lists = pa.list_(pa.int64())
         halves = [pa.array((mix(x.copy()) >> np.uint64(1)).view(np.int64)) for x in (least, second)]
-        names = [c.split()[0] for c in PROFILE.split(", ")]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *halves, pa.array(size), pa.array(count), pa.array(own, lists), none(pa.int64()), none(pa.int64())], names=names)
-        none = lambda kind: pa.nulls(len(unique), kind)
-        yield pa.RecordBatch.from_arrays([*[none(pa.int64())] * 6, none(lists), pa.array(unique.view(np.int64)), pa.array(n)], names=names)
+        if sum(len(u) for u, _ in held) > 4_000_000:
+            yield counted()
+            held.clear()
+    if held:
+        yield counted()
 
 
 class Lot:
@@ -298,7 +310,7 @@ class Lot:
         self.width = len(common)
         self.query, self.place = query[at >= 0].astype(np.int32), at[at >= 0].astype(np.int32)
         rare = at < 0
-        self.rare, self.ends = place[rare], np.searchsorted(query[rare], np.arange(len(rows) + 1))
+        self.rare, self.ends = place[rare].astype(np.int32), np.searchsorted(query[rare], np.arange(len(rows) + 1))
 
     def matrix(self) -> np.ndarray:
         out = np.zeros((len(self.rows), self.width), np.float32)
@@ -306,6 +318,19 @@ class Lot:
         return out
 
 
+def _word_runs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, last + 1, word hashes, bounds) of runs of about SEARCH_BYTES, made of smaller ones."""
+    begun, size, hashes, counts = 0, 0, [], []
+    for _, last, data, offsets in chunks(lowered(texts)):
+        h, _, _, bounds = words(data, offsets)
+        hashes.append(h)
+        counts.append(np.diff(bounds))
+        size += len(data)
+        if size >= SEARCH_BYTES or last == len(texts):
+            yield begun, last, np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+            begun, size, hashes, counts = last, 0, [], []
+
+
 def search_lot(lot: Lot, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]], window: int) -> tuple[np.ndarray, ...]:
     """(query, document row, document id, score) of the best ``lot.k`` documents of each query among (row, id, seed, text) batches."""
     best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -327,34 +352,42 @@ def search_lot(lot: Lot, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         full = np.flatnonzero(np.bincount(best[0], minlength=len(floor)) >= lot.k)
         floor[full] = best[3][np.searchsorted(best[0], full, "right") - 1]
 
+    look = Lookup(lot.vocabulary)
     for rows, names, seeds, texts in batches:
-        for first, last, data, offsets in chunks(lowered(texts), 4 << 20):
-            hashes, _, _, bounds = words(data, offsets)
-            length = np.diff(bounds)
-            n = last - first
-            at = np.minimum(np.searchsorted(lot.vocabulary, hashes), len(lot.vocabulary) - 1)
-            known = lot.vocabulary[at] == hashes
-            key = at[known] * n + np.repeat(np.arange(n), length)[known]
-            key, count = np.unique(key, return_counts=True)
-            term, doc = np.divmod(key, n)
+        for first, last, hashes, bounds in _word_runs(texts):
+            length, n = np.diff(bounds), last - first
+            at, term = look.find(hashes)
+            key = term.astype(np.int64) * n + (np.searchsorted(bounds, at, "right") - 1)
+            key.sort()
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            count = np.diff(np.append(new, len(key)))
+            term, doc = np.divmod(key[new], n)
             weight = bm25_weights(count, length[doc], lot.df[term], lot.docs, lot.mean)
             column = lot.column[term]
             wide = np.zeros((lot.width, n), np.float32)
             wide[column[column >= 0], doc[column >= 0]] = weight[column >= 0]
-            begin, stop = np.searchsorted(term, lot.rare), np.searchsorted(term, lot.rare, "right")
+            size = np.bincount(term, minlength=len(lot.df))
+            begin, size = (np.cumsum(size) - size)[lot.rare], size[lot.rare]
             closed = seeds[first:last] | (length % window == 0)
+            repeated = len(np.unique(rows[first:last])) < n  # a row that is repeated counts once, so its scores bound nothing
             for q in range(0, len(lot.rows), SEEDS):
                 queries = min(SEEDS, len(lot.rows) - q)
                 score = (dense[q : q + queries] @ wide).astype(np.float64)
-                some = slice(lot.ends[q], lot.ends[q + queries])
-                hits = stop[some] - begin[some]
+                low = lot.ends[q]
+                met = low + np.flatnonzero(size[low : lot.ends[q + queries]])
+                hits = size[met]
                 total = int(hits.sum())
                 if total:
-                    which = np.repeat(np.repeat(np.arange(queries), np.diff(lot.ends[q : q + queries + 1])), hits)
-                    place = np.arange(total) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(begin[some], hits)
-                    score += np.bincount(which * n + doc[place], weight[place], queries * n).reshape(queries, n)
+                    which = np.searchsorted(lot.ends, met, "right") - 1 - q
+                    place = np.arange(total) + np.repeat(begin[met] - np.cumsum(hits) + hits, hits)
+                    score += np.bincount(np.repeat(which * n, hits) + doc[place], weight[place], queries * n).reshape(queries, n)
                 score[:, closed] = 0
-                i, j = np.nonzero(score > np.maximum(floor[q : q + queries] - 1e-5, 1e-9)[:, None])
+                least = np.maximum(floor[q : q + queries] - 1e-5, 1e-9)
+                many = np.flatnonzero((score > least[:, None]).sum(1) > 2 * lot.k) if not repeated else []
+                if len(many):
+                    least[many] = np.maximum(least[many], np.partition(score[many], n - lot.k, 1)[:, n - lot.k] - 1e-4)
+                    floor[q + many] = least[many]
+                i, j = np.nonzero(score > least[:, None])
                 if len(i):
                     pending.append([i + q, rows[first + j], names[first + j], np.round(score[i, j], 4)])
             if sum(len(x[0]) for x in pending) > 4 * lot.k * len(lot.rows):
@@ -502,6 +535,7 @@ def pack_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     offers = found.groupBy("doc").agg(best.alias("to")).select("doc", F.col("to.seed").alias("seed"), F.col("to.score").alias("score"))
     offers = offers.join(shards.select(F.col("row").alias("seed"), F.col("shard").alias("to")), "seed")
     places = materialise(shards.join(offers, F.col("row") == F.col("doc"), "left").select("row", F.coalesce("to", "shard").alias("shard"), "seed", "score"))
-    moved = rows.select("id", "row", "text").join(places, "row").select("shard", "id", "row", "seed", "score", "text").repartition("shard")
+    known = F.broadcast(places) if places.count() <= BROADCAST_PLACES else places
+    moved = rows.select("id", "row", "text").join(known, "row").select("shard", "id", "row", "seed", "score", "text").repartition("shard")
     terms = moved.groupBy("shard").applyInArrow(_shard_terms, TERMS)
     return moved.groupBy("shard").cogroup(terms.join(df, "term").groupBy("shard")).applyInArrow(_packer(window, n, mean), PACKED)

@@ -2,11 +2,12 @@
 
 A text is handled as UTF-8 bytes. A word is a maximal run of ASCII letters and
 digits and of non-ASCII characters; the callers lower-case in the JVM first.
-Hashes of byte ranges are polynomial over 64-bit integers, taken from prefix
-sums, so that any number of ranges costs a constant number of numpy operations
-each; a final mixing step spreads them over all bits. Polynomials modulo 2**64 have
-structured collisions (Thue-Morse strings, of any base), so words of STRONG bytes
-and more are hashed by BLAKE2b instead, and lines are told apart by its 128-bit form.
+Words are hashed eight bytes at a time. Hashes of other byte ranges are polynomial
+over 64-bit integers, taken from prefix sums, so that any number of ranges costs a
+constant number of numpy operations each; a final mixing step spreads them over all
+bits. Polynomials modulo 2**64 have structured collisions (Thue-Morse strings, of any
+base), so they only find candidates: words of STRONG bytes and more are hashed by
+BLAKE2b, and lines are told apart by its 128-bit form.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK_BYTES = 1 << 20
-#: Longer ranges than a structured collision of the polynomial needs; below 128 bytes its low 35 bits at most agree by structure.
+#: Words from this length on are hashed by BLAKE2b.
 STRONG = 128
 
 WORD_BYTES = np.zeros(256, np.uint8)
@@ -86,6 +87,26 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         first = last
 
 
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte range without zero bytes, eight bytes at a time; the ranges are short."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    # Up to eight bytes this is one to one: padding is not part of a word.
+    out = (eight[start] & _MASKS[np.minimum(size, 8)]) * np.uint64(BASE)
+    done, left = 8, np.flatnonzero(size > 8)
+    while len(left):
+        rest = eight[start[left] + done] & _MASKS[np.minimum(size[left] - done, 8)]
+        mine = (out[left] ^ (out[left] >> np.uint64(29)) ^ rest) * np.uint64(0xD6E8FEB86659FD93)
+        out[left] = mine + np.uint64(done)
+        done += 8
+        left = left[size[left] > done]
+    return mix(out)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, bounds): words of all texts in order; text i has words bounds[i]:bounds[i+1]."""
     if not len(data):
@@ -100,7 +121,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[edge] = inside[edge + 1]
     last[edge - 1] = inside[edge]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = range_hash(prefix(kept), start, end)
+    hashes = word_hashes(data, start, end)
     for i in np.flatnonzero(end - start >= STRONG).tolist():
         hashes[i] = int.from_bytes(blake2b(kept[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     return hashes, start, end, np.searchsorted(start, offsets)
@@ -144,3 +165,47 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndar
         keep[at[at >= bounds[:-1] + (count < size)]] = False
     kept = np.where(count > 0, np.maximum(count - size + 1, 1), 0)
     return mix(out[keep]), np.concatenate([[0], np.cumsum(kept)])
+
+
+class Lookup:
+    """Places of hashes in a sorted array of distinct ones, by a table over their leading bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        bits = max(1, min(22, int(len(hashes)).bit_length() + 1))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.first = np.append(self.first, np.int32(len(hashes)))
+
+    def find(self, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(indices of those that are there, their places)."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        slot = (sought >> self.shift).astype(np.int32)
+        at, end = self.first[slot], self.first[slot + 1]
+        left = np.flatnonzero(at < end)
+        at, end, found, places = at[left], end[left], [], []
+        while len(left):
+            hit = self.hashes[at] == sought[left]
+            found.append(left[hit])
+            places.append(at[hit])
+            go = ~hit & (at + 1 < end)
+            left, at, end = left[go], at[go] + 1, end[go]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        found, places = np.concatenate(found), np.concatenate(places)
+        order = np.argsort(found, kind="stable")
+        return found[order], places[order]
+
+
+def distinct_words(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, count) of the distinct words of each text, by text, then hash."""
+    hashes = hashes.copy()
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        hashes[a:b].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[bounds[:-1][bounds[:-1] < len(hashes)]] = True
+    at = np.flatnonzero(new)
+    text = np.searchsorted(bounds, at, "right") - 1
+    return hashes[at], text.astype(np.int32), np.diff(np.append(at, len(hashes))).astype(np.int32)
