@@ -136,3 +136,54 @@ def any_of(filters: Sequence[Filter]) -> Column:
 def gift_wrap_visible(auth_pubkeys: Sequence[str]) -> Column:
     """Kind 1059 shows to the authenticated keys that a p tag names."""
     return (F.col("kind") != GIFT_WRAP) | has_p_tag(F.col("tags"), list(auth_pubkeys))
+
+
+#: Kinds of keys by which events meet filters, most selective first.
+ID, AUTHOR, TAG, KIND, ANY = "i", "a", "t", "k", "*"
+
+
+def probe_keys(f: Filter) -> list[str]:
+    """Keys of a filter, one of which every event that it takes has."""
+    if f.ids is not None and all(len(x) == 64 for x in f.ids):
+        return [ID + x for x in f.ids]
+    if f.authors is not None and all(len(x) == 64 for x in f.authors):
+        return [AUTHOR + x for x in f.authors]
+    if f.tags:
+        name, values = min(f.tags.items(), key=lambda x: len(x[1]))
+        return [f"{TAG}{name}{x}" for x in values]
+    if f.kinds is not None:
+        return [f"{KIND}{x}" for x in f.kinds]
+    return [ANY]
+
+
+def event_keys() -> Column:
+    """All keys of an event, over columns id, pubkey, kind and tags."""
+    name, value = (lambda t, k=k: F.get(t, F.lit(k)) for k in (0, 1))
+    tags = F.transform(F.filter("tags", lambda t: (F.octet_length(name(t)) == 1) & value(t).isNotNull()), lambda t: F.concat(F.lit(TAG), name(t), value(t)))
+    own = F.array(F.concat(F.lit(ID), "id"), F.concat(F.lit(AUTHOR), "pubkey"), F.concat(F.lit(KIND), F.col("kind").cast("string")), F.lit(ANY))
+    return F.array_union(own, F.coalesce(tags, F.array().cast("array<string>")))
+
+
+FILTER_ROW = "sub_id string, n int, ids array<string>, authors array<string>, kinds array<int>, since bigint, until bigint, tags array<struct<name: string, values: array<string>>>, auth array<string>"
+
+
+def filter_row(name: str, f: Filter, n: int, auth_pubkeys: Sequence[str] = ()) -> tuple:
+    sets = lambda x: None if x is None else sorted(set(x))
+    return (name, n, sets(f.ids), sets(f.authors), sets(f.kinds), f.since, f.until, [(k, sets(v)) for k, v in f.tags.items()], list(auth_pubkeys))
+
+
+def meets(of: str) -> Column:
+    """Whether an event meets the filter in the struct column ``of``, of FILTER_ROW; for any number of filters it is one expression."""
+    c = lambda name: F.col(f"{of}.{name}")
+    prefix = lambda name, column: c(name).isNull() | F.exists(c(name), lambda x: F.startswith(F.col(column), x))
+    has = lambda want, values: F.exists("tags", lambda t: F.coalesce((F.get(t, F.lit(0)) == want) & F.array_contains(values, F.get(t, F.lit(1))), F.lit(False)))
+    parts = [
+        c("since").isNull() | (F.col("created_at") >= c("since")),
+        c("until").isNull() | (F.col("created_at") <= c("until")),
+        c("kinds").isNull() | F.array_contains(c("kinds"), F.col("kind")),
+        prefix("authors", "pubkey"),
+        prefix("ids", "id"),
+        F.forall(c("tags"), lambda t: has(t["name"], t["values"])),
+        (F.col("kind") != GIFT_WRAP) | has(F.lit("p"), c("auth")),
+    ]
+    return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))

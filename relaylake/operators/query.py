@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Limits
-from ..filters import Filter, any_of, gift_wrap_visible
+from ..filters import FILTER_ROW, Filter, any_of, event_keys, filter_row, gift_wrap_visible, meets, probe_keys
 
 
 def request(visible: DataFrame, filters: Sequence[Filter], *, auth_pubkeys: Sequence[str] = (), limits: Limits | None = None) -> DataFrame:
@@ -28,19 +28,44 @@ def request(visible: DataFrame, filters: Sequence[Filter], *, auth_pubkeys: Sequ
     return reduce(DataFrame.unionAll, parts).orderBy(F.desc("created_at"), "id")
 
 
-def request_batch(visible: DataFrame, named: dict[str, Filter], *, auth_pubkeys: Sequence[str] = (), limits: Limits | None = None) -> DataFrame:
-    """(sub_id, event...) for many filters in one job: one scan tags each event with the filters it meets.
+#: Filters up to this number are looked up by a broadcast; more by a shuffled join.
+BROADCAST_FILTERS = 100_000
 
-    A partial top-k per filter runs before the shuffle, so what moves is bounded by filters x limit x tasks.
+
+def ranked(events: DataFrame, wanted: list[tuple[str, Filter, int, Sequence[str]]]) -> DataFrame:
+    """(f, event...): each event with each filter (name, filter, limit, authenticated keys) that it meets, once.
+
+    Both sides have keys (an id, an author, a tag or a kind) by which they are joined;
+    the whole filter is tested on what meets. An event that shares several keys with a
+    filter keeps the pair of the first one.
+    """
+    spark = events.sparkSession
+    rows = [filter_row(name, f, n, auth) + (sorted(set(probe_keys(f))),) for name, f, n, auth in wanted]
+    filters = spark.createDataFrame(rows, f"{FILTER_ROW}, keys array<string>")
+    probes = filters.select(F.explode("keys").alias("key"), F.struct(*filters.columns).alias("f"))
+    small = sum(len(r[-1]) for r in rows) <= BROADCAST_FILTERS
+    # Only keys of kinds that some filter has are made into rows.
+    used = sorted({k[0] for r in rows for k in r[-1]})
+    own = F.filter(event_keys(), lambda k: F.substring(k, 1, 1).isin(used)) if used else F.array().cast("array<string>")
+    keyed = events.withColumn("__keys", own).withColumn("__key", F.explode("__keys"))
+    met = keyed.join(F.broadcast(probes) if small else probes, F.col("__key") == F.col("key"))
+    once = F.col("__key") == F.get(F.array_intersect("__keys", "f.keys"), F.lit(0))
+    return met.where(once & meets("f")).select("f", *events.columns)
+
+
+def request_batch(visible: DataFrame, named: Mapping[str, Filter], *, auth_pubkeys: Sequence[str] = (), limits: Limits | None = None) -> DataFrame:
+    """(sub_id, event...) for many filters in one job: events and filters are joined by key.
+
+    A top-k of each filter runs in each task before the shuffle, so what moves is
+    bounded by filters x limit x tasks.
     """
     limits = limits or Limits()
-    met = F.array_compact(F.array(*[F.when(f.predicate(), F.struct(F.lit(name).alias("sub_id"), F.lit(f.clamped(limits.max_limit)).alias("n"))) for name, f in named.items()]))
-    rows = visible.where(gift_wrap_visible(auth_pubkeys)).select(F.explode(met).alias("m"), *visible.columns)
-    w = Window.partitionBy("m.sub_id").orderBy(F.desc("seq"))
+    top = ranked(visible, [(name, f, f.clamped(limits.max_limit), auth_pubkeys) for name, f in named.items()])
+    w = Window.partitionBy("f.sub_id").orderBy(F.desc("seq"))
     # A constant bound first: Spark turns it into a limit of each task, before the shuffle.
     most = max([f.clamped(limits.max_limit) for f in named.values()], default=0)
-    top = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= F.lit(most)).where("__n <= m.n")
-    return top.select("m.sub_id", *visible.columns)
+    top = top.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= F.lit(most)).where("__n <= f.n")
+    return top.select("f.sub_id", *visible.columns)
 
 
 def count(visible_for_counts: DataFrame, filters: Sequence[Filter], *, auth_pubkeys: Sequence[str] = ()) -> DataFrame:

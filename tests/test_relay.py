@@ -315,6 +315,40 @@ def test_index_record_and_frames():
         assert (name, sub) == ("EVENT", 'x"y') and said == e
 
 
+def test_many_filters_by_key_equal_their_predicates(spark):
+    rng = random.Random(78)
+    hexes = [f"{k:02x}" * 32 for k in range(12)]
+    rows = []
+    for n in range(250):
+        tags = [[rng.choice("etp"), rng.choice(["x", "y", *hexes[:4]])] for _ in range(rng.randrange(4))] + rng.choice([[], [["long", "x"]], [["e"]]])
+        rows.append({"id": f"{rng.randrange(16):x}{n:063x}", "pubkey": rng.choice(hexes), "created_at": rng.randrange(50), "kind": rng.choice([1, 7, 1059]), "tags": tags, "content": ""})
+    events = log(spark, rows).cache()
+    made = {}
+    for k in range(130):
+        f = {}
+        for key, value in (("ids", [rng.choice(rows)["id"], rng.choice(["0a", rows[3]["id"]])]), ("authors", [rng.choice(hexes), rng.choice(hexes)[: rng.choice([2, 64])]]), ("kinds", [rng.choice([1, 7, 1059]) for _ in range(rng.randrange(3))]), ("since", rng.randrange(50)), ("until", rng.randrange(50)), ("#e", ["x", hexes[0]]), ("#t", ["y", "x"])):
+            if rng.random() < 0.3:
+                f[key] = value
+        if rng.random() < 0.5:
+            f["limit"] = rng.randrange(4)
+        made[f"s{k}"] = Filter.parse(f)
+    auth = [hexes[1]]
+    every = {name: sorted(r.seq for r in events.where(f.predicate() & __import__("relaylake.filters", fromlist=["x"]).gift_wrap_visible(auth)).select("seq").collect()) for name, f in made.items()}
+    assert sum(map(len, every.values())) > 200
+    got = {}
+    for r in query.request_batch(events, made, auth_pubkeys=auth).collect():
+        got.setdefault(r.sub_id, []).append(r.seq)
+    assert {k: sorted(v) for k, v in got.items()} == {k: v[-made[k].clamped(500) :] for k, v in every.items() if v and made[k].clamped(500)}
+    subs = {f"{k}": Subscription([made[f"s{k}"], made[f"s{k + 1}"]], auth) for k in range(0, 130, 2)} | {f"n{k}": Subscription([made[f"s{k}"]]) for k in range(20)}
+    many = sorted((r.sub_id, r.seq) for r in deliver(events, subs).collect())
+    few = sorted((r.sub_id, r.seq) for part in (dict(list(subs.items())[:50]), dict(list(subs.items())[50:])) for r in deliver(events, part).collect())
+    assert many == few and request_empty(spark, events)
+
+
+def request_empty(spark, events):
+    return query.request_batch(events, {}).count() == 0 and query.request_batch(events, {"a": Filter(ids=[])}).count() == 0
+
+
 def test_batched_requests_limit_before_the_shuffle(spark):
     rows = log(spark, [signed(1, 1, k) for k in range(12)])
     found = query.request_batch(rows, {"a": Filter(kinds=[1], limit=2), "b": Filter(limit=5), "c": Filter(limit=0)})
