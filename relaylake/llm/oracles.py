@@ -39,10 +39,10 @@ SELECT record_id, url, payload_digest, record_header, html AS payload,
   record_header || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record, true AS intact FROM h"""
 
 CHAT = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 w AS (SELECT *, row_number() OVER o AS position,
-        coalesce(string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context
-      FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        coalesce(string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '') OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context
+      FROM t WINDOW o AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)),
 p AS (SELECT conv_id, turn, position, position - 1 AS n_context, context || '<|assistant|>' || chr(10) AS prompt, text || '<|end|>' || chr(10) AS completion FROM w WHERE role = 'assistant')
 SELECT conv_id, turn, position, n_context, prompt, completion, length(prompt) AS train_start, length(prompt) + length(completion) AS train_end FROM p"""
 

@@ -7,9 +7,12 @@ Plan: payloads shuffle once, by digest, for the store; the join back finds the
 store partitioned by digest already and moves only the narrow header rows.
 
 Defined results: a record with a null payload has no digest and comes back with
-a null payload; an empty payload is stored like any other; repeated rows stay
-separate records; a digest under which payloads of other length or other second
-digest arrive stops the job rather than losing bytes.
+a null payload; an empty payload is stored like any other; null ids and addresses are
+left out of the header block; repeated rows and rows that repeat an id stay separate
+records, in no order, so ties need no rule; very long payloads are stored whole; a
+digest under which payloads of other length or other second digest arrive stops the
+job rather than losing bytes; an empty table gives no rows; input columns besides the
+three named ones are left out, whatever their names.
 """
 
 from __future__ import annotations

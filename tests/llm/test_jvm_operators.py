@@ -86,11 +86,11 @@ def test_archive_notices_damage(spark):
 
 
 def test_prefix_targets_equal_a_plain_loop(spark):
-    rows = [(1, 0, "system", "S"), (1, 1, "user", "hi"), (1, 2, "assistant", "a\nb"), (1, 2, "assistant", "a\nb"), (1, 3, None, None), (1, 4, "assistant", None), (2, 0, "assistant", "first"), (3, 0, "user", "only"), (None, 1, "assistant", "x"), (4, None, "user", "early"), (4, 0, "assistant", "y" * 50_000), (4, 0, "assistant", "é")]
+    rows = [(1, 0, "system", "S"), (1, 1, "user", "hi"), (1, 2, "assistant", "a\nb"), (1, 2, "assistant", "a\nb"), (1, 3, None, None), (1, 4, "assistant", None), (2, 0, "assistant", "first"), (3, 0, "user", "only"), (None, 1, "assistant", "x"), (None, 0, "user", "w"), (None, 1, "assistant", "x"), (4, None, "user", "early"), (4, 0, "assistant", "y" * 50_000), (4, 0, "assistant", "é")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("prompt", F.lit(1)).withColumn("i", F.lit(2))
     want = []
-    for conv in {r[0] for r in rows}:
-        turns = sorted(((-1 if t is None else t, r or "unknown", x or "") for c, t, r, x in rows if c == conv))
+    for conv, mine in [(c, [r for r in rows if r[0] == c]) for c in {r[0] for r in rows} - {None}] + [(None, [r]) for r in rows if r[0] is None]:
+        turns = sorted(((-1 if t is None else t, r or "unknown", x or "") for c, t, r, x in mine))
         for k, (t, role, text) in enumerate(turns):
             if role == "assistant":
                 prompt = "".join(f"<|{r}|>\n{x}<|end|>\n" for _, r, x in turns[:k]) + "<|assistant|>\n"
