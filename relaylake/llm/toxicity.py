@@ -12,9 +12,9 @@ join is by broadcast of at most ``max_labelled`` rows. Features are extracted in
 parallel, one task fits, and the model (at most SELECTED weights) goes to a map
 over all texts.
 
-SELECTED is a parameter of the model, as is the penalty: the features that tell the
-classes apart best have weights and the others none, in labelled texts and in scored
-ones alike. The step of the descent comes from the largest curvature of the loss, found by
+SELECTED and SIGNIFICANT are parameters of the model, as is the penalty: the features that tell
+the classes apart best, and by more than chance, have weights and the others none, in labelled
+texts and in scored ones alike. The step of the descent comes from the largest curvature of the loss, found by
 power iteration, so it converges for texts of any number of features.
 
 Defined results: null labels and labels without a text are left out; of an id with
@@ -44,7 +44,10 @@ from .textscan import WORD_BYTES, buffers, chunks, lowered, prefix, range_hash,
 
 #: The bound of the labelled sample that the classifier is fitted on.
 MAX_LABELLED = 20_000
-DIM_BITS, PREFIXES, SELECTED, THRESHOLD = 20, (4, 5, 6, 7), 2048, 0.5
+#: Features have 31 bits: with fewer, very long texts, of 100,000 features and more, meet weights by collision.
+DIM_BITS, PREFIXES, SELECTED, THRESHOLD = 31, (4, 5, 6, 7), 2048, 0.5
+#: Features whose log odds between the classes are fewer standard errors from 0 have no weight: chance ones would add up in very long texts.
+SIGNIFICANT = 3.0
 
 #: Terms that are swapped with each other, by language.
 IDENTITY_TERMS = [
@@ -89,6 +92,31 @@ def again(feature: np.ndarray) -> np.ndarray:
     return (feature * 0x5851F42D + 0x14057B7E) & ((1 << DIM_BITS) - 1)
 
 
+class Places:
+    """Places of features in a sorted array; a table over their leading bits rules most others out."""
+
+    SHIFT = DIM_BITS - 20
+
+    def __init__(self, chosen: np.ndarray):
+        self.chosen = chosen
+        self.near = np.zeros(1 << 20, bool)
+        self.near[chosen >> self.SHIFT] = True
+
+    def may(self, feature: np.ndarray) -> np.ndarray:
+        """Whether each can be among them."""
+        return self.near[feature >> self.SHIFT]
+
+    def of(self, feature: np.ndarray) -> np.ndarray:
+        """The place of each, -1 where it is not among them."""
+        out = np.full(len(feature), -1, np.int32)
+        some = np.flatnonzero(self.may(feature))
+        if len(some):
+            at = np.minimum(np.searchsorted(self.chosen, feature[some]), len(self.chosen) - 1)
+            hit = self.chosen[at] == feature[some]
+            out[some[hit]] = at[hit]
+        return out
+
+
 def distinct_features(texts: list[str]) -> list[np.ndarray]:
     """The sorted distinct features of each text."""
     text, feature = occurrences(*buffers(lowered(strings(pa.array(texts, pa.string())))))
@@ -119,7 +147,7 @@ def _labelled(batch: pa.RecordBatch) -> pa.RecordBatch:
             said = [s for s in _SENTENCE.split(text) if _TERM.search(s)]
             both = distinct_features([*said, *map(swapped, said)])
             rows += [(0, a, b) for a, b in zip(both[: len(said)], both[len(said) :], strict=True)]
-    kinds = pa.list_(pa.int64())
+    kinds = pa.list_(pa.int32())
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], kinds), pa.array([r[2] for r in rows], kinds)], names=["toxic", "features", "twin"])
 
 
@@ -149,23 +177,27 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[np.ndarray
         return none
     feature = np.concatenate(rows)
     text = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    size = 1 << DIM_BITS
-    p, n = np.bincount(feature[toxic[text]], minlength=size), np.bincount(feature[~toxic[text]], minlength=size)
+    (bad, p), (good, n) = (np.unique(feature[x[text]], return_counts=True) for x in (toxic, ~toxic))
+    every = np.union1d(bad, good)
+    counts = np.zeros((2, len(every)), np.int64)
+    counts[0, np.searchsorted(every, bad)], counts[1, np.searchsorted(every, good)] = p, n
+    often = counts.sum(0) >= 3
+    every, p, n = every[often].astype(np.int64), *counts[:, often]
     many, few = toxic.sum(), (~toxic).sum()
     odds = np.log((p + 0.5) / (many - p + 0.5)) - np.log((n + 0.5) / (few - n + 0.5))
-    z = np.where(p + n >= 3, np.abs(odds) / np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5) + 1 / (many - p + 0.5) + 1 / (few - n + 0.5)), 0)
-    chosen = np.sort(np.lexsort((np.arange(size), -z))[:SELECTED])
-    chosen = chosen[z[chosen] > 0]
-    place = np.full(size, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[feature] >= 0
-    text, feature = text[keep], place[feature[keep]]
+    z = np.abs(odds) / np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5) + 1 / (many - p + 0.5) + 1 / (few - n + 0.5))
+    best = np.sort(np.lexsort((every, -z))[:SELECTED])
+    chosen = every[best[z[best] >= SIGNIFICANT]]
+    places = Places(chosen)
+    feature = places.of(feature)
+    keep = feature >= 0
+    text, feature = text[keep], feature[keep]
     neutral = [distinct_features([t.format(x) for x in group for t in TEMPLATES]) for group in IDENTITY_TERMS]
     pairs = pairs + [(g[i], g[i + len(TEMPLATES)]) for g in neutral for i in range(len(g) - len(TEMPLATES))]
     pair, changed, sign = [], [], []
     for k, (a, b) in enumerate(pairs):
         for only, s in ((np.setdiff1d(a, b), 1.0), (np.setdiff1d(b, a), -1.0)):
-            only = place[only]
+            only = places.of(only)
             only = only[only >= 0]
             pair.append(np.full(len(only), k))
             changed.append(only)
@@ -207,9 +239,9 @@ def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     labels, rows, pairs = [], [], []
     for batch in batches:
         for toxic, features, twin in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            mine = features.values.to_numpy().astype(np.int32)
+            mine = features.values.to_numpy()
             if twin.is_valid:
-                pairs.append((mine, twin.values.to_numpy().astype(np.int32)))
+                pairs.append((mine, twin.values.to_numpy()))
             else:
                 labels.append(toxic)
                 rows.append(mine)
@@ -227,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
     # One text for each id, so that a repeated id does not lift the bound.
     rows = texts.groupBy("k").agg(F.min_by("text", F.xxhash64("text")).alias("text")).join(F.broadcast(sample), "k")
     # Sorted, so that the sums of the fit do not depend on the order in which tasks end.
-    made = rows.select("toxic", "text").mapInArrow(_extract, "toxic int, features array<bigint>, twin array<bigint>")
+    made = rows.select("toxic", "text").mapInArrow(_extract, "toxic int, features array<int>, twin array<int>")
     found = made.repartition(1).sortWithinPartitions("toxic", F.xxhash64("features"), "twin").mapInArrow(_fitter, "feature bigint, weight double").collect()
     weights = sorted((r.feature, r.weight) for r in found)
     if not weights:
@@ -237,16 +269,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
 
 def scores(column: pa.Array, model: Model) -> np.ndarray:
     """Score of each text of an Arrow string array."""
-    place = np.full(1 << DIM_BITS, -1, np.int32)
-    place[model.features] = np.arange(len(model.features))
-    out = []
+    places, out = Places(model.features), []
     for first, last, data, offsets in chunks(lowered(strings(column))):
         text, feature = occurrences(data, offsets)
-        live = (place[feature] >= 0) | (place[again(feature)] >= 0)
+        live = places.may(feature) | places.may(again(feature))
         key, count = np.unique((text[live] << DIM_BITS) | feature[live], return_counts=True)
         twice = key[count > 1]
         key = np.unique(np.concatenate([key, (twice >> DIM_BITS << DIM_BITS) | again(twice)]))
-        at = place[key & ((1 << DIM_BITS) - 1)]
+        at = places.of(key & ((1 << DIM_BITS) - 1))
         key, at = key[at >= 0], at[at >= 0]
         sums = np.bincount(key >> DIM_BITS, model.weights[at], last - first) if len(key) else np.zeros(last - first)
         out.append(1 / (1 + np.exp(-np.clip(model.intercept + sums, -30, 30))))
