@@ -19,7 +19,7 @@ power iteration, so it converges for texts of any number of features.
 
 Defined results: null labels and labels without a text are left out; of an id with
 several texts the one with the least hash is learnt from, and all are scored; an id
-that is labelled twice counts twice; without a text of either class nothing is toxic;
+that is labelled twice counts twice; without a text of either class, or a feature that tells them apart, nothing is toxic;
 null and empty texts score as texts without features; a very long text is scored
 whole; repeated rows and rows that repeat an id are scored each; the score lies in 0..1
 and a text is toxic from ``threshold`` on, so a score equal to it is; labels that tie in
@@ -188,6 +188,8 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[np.ndarray
     z = np.abs(odds) / np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5) + 1 / (many - p + 0.5) + 1 / (few - n + 0.5))
     best = np.sort(np.lexsort((every, -z))[:SELECTED])
     chosen = every[best[z[best] >= SIGNIFICANT]]
+    if not len(chosen):
+        return none
     places = Places(chosen)
     feature = places.of(feature)
     keep = feature >= 0

@@ -114,6 +114,20 @@ def test_scores_equal_a_plain_sum():
     assert np.allclose(toxicity.scores(pa.array(texts), model), want)
 
 
+def test_nothing_is_toxic_where_no_feature_tells_the_classes_apart():
+    rows = ["same words here"] * 9
+    model = toxicity.fit(np.array([1] + [0] * 8), toxicity.distinct_features(rows), [])
+    assert not len(model.features) and (toxicity.scores(__import__("pyarrow").array(rows), model) < 0.5).all()
+
+
+def test_very_long_clean_texts_meet_no_weight_by_collision():
+    rng = random.Random(166)
+    rows, labels = labelled(rng, 200)
+    model = toxicity.fit(np.array([x for _, x in labels]), toxicity.distinct_features([t for _, t in rows]), [])
+    long = [prose(rng, 60_000, 10**6) for _ in range(4)]
+    assert (toxicity.scores(__import__("pyarrow").array(long), model) < 0.3).all()
+
+
 def test_one_text_of_a_labelled_id_is_learnt_from(spark):
     rows, labels = labelled(random.Random(163), 200)
     given = spark.createDataFrame(labels, "doc_id bigint, toxic int")
