@@ -18,9 +18,12 @@ a second such hash, and what copies keep together even then by a hash of the row
 Offered documents are placed with their seed.
 
 Plan: one scan makes a narrow profile of each document, the terms of the seeds and
-partial document frequencies. One more scan builds an index of each run of texts and
-searches it for all seeds, which are broadcast in lots of LOT_BYTES of text; only the
-best of each task are shuffled. Texts move by shard once, after a join with their
+partial document frequencies. The seeds are broadcast in lots of LOT_BYTES of text. For
+each lot, one of SAMPLE documents is searched first: the score that a seed's last
+neighbour there has is reached by its last one in the corpus too. One more scan builds
+an index of each run of texts and searches it for the seeds of the lot; only what
+reaches those scores is shuffled, about SAMPLE * NEIGHBOURS rows for each seed however
+many tasks there are. Texts move by shard once, after a join with their
 places. Terms of a shard (not of a document) are shuffled for their frequencies, and
 only those that two documents of the shard share. The search of the seeds is a
 hundredth of all pairs and so grows faster than the table; STRIDE sets it.
@@ -37,7 +40,7 @@ are its exact text; an empty table gives no rows; input columns may have any nam
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +58,13 @@ STRIDE, NEIGHBOURS = 100, 32
 #: Stands for a missing id while scores are ranked.
 NOTHING = -(1 << 63)
 #: Bytes of seed texts that are searched at once; their terms, 8 bytes each, are less.
-LOT_BYTES = 16 << 20
+LOT_BYTES = 48 << 20
 #: Seeds searched together, and terms of more than so small a share of the documents are multiplied as a matrix.
-SEEDS, COMMON = 256, 1 / 16
+SEEDS, COMMON = 64, 1 / 16
+#: Products of single precision are this near to the sums.
+ROUGH = 5e-3
+#: One of SAMPLE documents is searched first, for scores that the best must reach; fewer than FEW documents are searched at once.
+SAMPLE, FEW = 32, 20_000
 #: Bytes of text that are indexed and searched together; a longer text by itself.
 SEARCH_BYTES = 8 << 20
 #: So many neighbours are ranked before the others.
@@ -312,10 +319,12 @@ class Lot:
         rare = at < 0
         self.rare, self.ends = place[rare].astype(np.int32), np.searchsorted(query[rare], np.arange(len(rows) + 1))
 
-    def matrix(self) -> np.ndarray:
-        out = np.zeros((len(self.rows), self.width), np.float32)
-        out[self.query, self.place] = 1
-        return out
+    @cached_property
+    def ready(self) -> tuple[Lookup, np.ndarray]:
+        """The vocabulary and the matrix, made once in each worker."""
+        matrix = np.zeros((len(self.rows), self.width), np.float32)
+        matrix[self.query, self.place] = 1
+        return Lookup(self.vocabulary), matrix
 
 
 def _word_runs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -331,11 +340,14 @@ def _word_runs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
             begun, size, hashes, counts = last, 0, [], []
 
 
-def search_lot(lot: Lot, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]], window: int) -> tuple[np.ndarray, ...]:
-    """(query, document row, document id, score) of the best ``lot.k`` documents of each query among (row, id, seed, text) batches."""
+def search_lot(lot: Lot, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]], window: int, reach: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(query, document row, document id, score) of the best ``lot.k`` documents of each query among (row, id, seed, text) batches.
+
+    ``reach``: scores that ``lot.k`` documents of the corpus are known to have; lower ones are left out.
+    """
     best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    floor = np.zeros(len(lot.rows))
-    dense, pending = lot.matrix(), []
+    floor = np.zeros(len(lot.rows)) if reach is None else reach.copy()
+    (look, dense), pending = lot.ready, []
 
     def settle() -> None:
         nonlocal best
@@ -350,9 +362,8 @@ def search_lot(lot: Lot, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         order = order[rank < lot.k]
         best = [query[rank < lot.k], doc[order], name[order], score[order]]
         full = np.flatnonzero(np.bincount(best[0], minlength=len(floor)) >= lot.k)
-        floor[full] = best[3][np.searchsorted(best[0], full, "right") - 1]
+        floor[full] = np.maximum(floor[full], best[3][np.searchsorted(best[0], full, "right") - 1])
 
-    look = Lookup(lot.vocabulary)
     for rows, names, seeds, texts in batches:
         for first, last, hashes, bounds in _word_runs(texts):
             length, n = np.diff(bounds), last - first
@@ -364,15 +375,17 @@ def search_lot(lot: Lot, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             term, doc = np.divmod(key[new], n)
             weight = bm25_weights(count, length[doc], lot.df[term], lot.docs, lot.mean)
             column = lot.column[term]
-            wide = np.zeros((lot.width, n), np.float32)
-            wide[column[column >= 0], doc[column >= 0]] = weight[column >= 0]
+            wide = np.zeros((n, lot.width))
+            wide[doc[column >= 0], column[column >= 0]] = weight[column >= 0]
+            narrow = np.ascontiguousarray(wide.T, np.float32)
             size = np.bincount(term, minlength=len(lot.df))
             begin, size = (np.cumsum(size) - size)[lot.rare], size[lot.rare]
             closed = seeds[first:last] | (length % window == 0)
-            repeated = len(np.unique(rows[first:last])) < n  # a row that is repeated counts once, so its scores bound nothing
+            again = np.ones(n, bool)  # a row that is repeated counts once
+            again[np.unique(rows[first:last], return_index=True)[1]] = False
+            closed |= again
             for q in range(0, len(lot.rows), SEEDS):
                 queries = min(SEEDS, len(lot.rows) - q)
-                score = (dense[q : q + queries] @ wide).astype(np.float64)
                 low = lot.ends[q]
                 met = low + np.flatnonzero(size[low : lot.ends[q + queries]])
                 hits = size[met]
@@ -380,23 +393,31 @@ def search_lot(lot: Lot, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndar
                 if total:
                     which = np.searchsorted(lot.ends, met, "right") - 1 - q
                     place = np.arange(total) + np.repeat(begin[met] - np.cumsum(hits) + hits, hits)
-                    score += np.bincount(np.repeat(which * n, hits) + doc[place], weight[place], queries * n).reshape(queries, n)
-                score[:, closed] = 0
-                least = np.maximum(floor[q : q + queries] - 1e-5, 1e-9)
-                many = np.flatnonzero((score > least[:, None]).sum(1) > 2 * lot.k) if not repeated else []
+                    rare = np.bincount(np.repeat(which * n, hits) + doc.take(place), weight.take(place), queries * n).reshape(queries, n)
+                else:
+                    rare = np.zeros((queries, n))
+                rough = rare + dense[q : q + queries] @ narrow
+                rough[:, closed] = 0
+                least = np.maximum(floor[q : q + queries] - ROUGH, 1e-9)
+                over = rough > least[:, None]
+                many = np.flatnonzero(np.count_nonzero(over, 1) > 2 * lot.k)
                 if len(many):
-                    least[many] = np.maximum(least[many], np.partition(score[many], n - lot.k, 1)[:, n - lot.k] - 1e-4)
-                    floor[q + many] = least[many]
-                i, j = np.nonzero(score > least[:, None])
+                    floor[q + many] = np.maximum(floor[q + many], np.partition(rough[many], n - lot.k, 1)[:, n - lot.k] - ROUGH)
+                    over[many] = rough[many] > (floor[q + many] - ROUGH)[:, None]
+                i, j = np.divmod(np.flatnonzero(over), n)
                 if len(i):
-                    pending.append([i + q, rows[first + j], names[first + j], np.round(score[i, j], 4)])
+                    # The product is of single precision: what may be among the best is summed again.
+                    common = [np.einsum("ab,ab->a", dense[q + i[at : at + 4096]], wide[j[at : at + 4096]]) for at in range(0, len(i), 4096)]
+                    score = np.round(rare[i, j] + np.concatenate(common), 4)
+                    good = score > floor[q + i] - 1e-5
+                    pending.append([i[good] + q, rows[first + j[good]], names[first + j[good]], score[good]])
             if sum(len(x[0]) for x in pending) > 4 * lot.k * len(lot.rows):
                 settle()
     settle()
     return tuple(best)
 
 
-def _searcher(shared, window: int):
+def _searcher(shared, reach, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot = shared.value
 
@@ -404,7 +425,7 @@ def _searcher(shared, window: int):
             for b in batches:
                 yield b.column(1).to_numpy(), b.column(0).fill_null(NOTHING).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), strings(b.column(3))
 
-        query, doc, name, score = search_lot(lot, given(), window)
+        query, doc, name, score = search_lot(lot, given(), window, reach and reach.value)
         if len(query):
             yield pa.RecordBatch.from_arrays([pa.array(lot.rows[query]), pa.array(doc), pa.array(name), pa.array(score)], names=["seed", "doc", "doc_id", "score"])
 
@@ -486,7 +507,12 @@ def _neighbours(rows: DataFrame, profile: DataFrame, df: DataFrame, docs: int, m
     seeds = materialise(profile.where("terms is not null").select(F.col("row").alias("seed"), F.col("id").alias("seed_id"), "terms", "size").dropDuplicates(["seed"]))
     total = seeds.agg(F.sum("size")).first()[0] or 0
     lots = int(total // LOT_BYTES) + 1
-    parts = []
+    parts, order = [], Window.partitionBy("seed").orderBy(F.desc("score"), "doc_id", "doc")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        """With the place ``n`` of each document; a row that is repeated has one place."""
+        return found.withColumn("n", F.dense_rank().over(order))
+
     for n in range(lots if total else 0):
         mine = seeds.where(F.pmod(F.xxhash64("seed"), F.lit(lots)) == n)
         got = mine.select("seed", "terms").orderBy("seed").toArrow().combine_chunks()
@@ -496,13 +522,18 @@ def _neighbours(rows: DataFrame, profile: DataFrame, df: DataFrame, docs: int, m
         lists = got.column("terms").combine_chunks()
         bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         lot = Lot(got.column("seed").to_numpy(), bounds, lists.flatten().to_numpy().view(np.uint64), known.column("term").to_numpy().view(np.uint64), known.column("n").to_numpy(), docs, mean, k)
-        part = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(lot), window), FOUND)
+        shared, reach = spark.sparkContext.broadcast(lot), None
+        if docs >= FEW:
+            first = rows.where(F.pmod("row", F.lit(SAMPLE)) == 0).coalesce(2 * spark.sparkContext.defaultParallelism)
+            least = ranked(first.mapInArrow(_searcher(shared, None, window), FOUND)).where(F.col("n") == k).select("seed", "score").distinct().toArrow()
+            known_scores = np.zeros(len(lot.rows))
+            known_scores[np.searchsorted(lot.rows, least.column("seed").to_numpy())] = least.column("score").to_numpy()
+            reach = spark.sparkContext.broadcast(known_scores)
+        part = rows.mapInArrow(_searcher(shared, reach, window), FOUND)
         # Written where there are more, so that one lot at a time is in memory.
         parts.append(part if lots == 1 else materialise(part))
     found = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], FOUND)
-    order = Window.partitionBy("seed").orderBy(F.desc("score"), "doc_id", "doc")
-    # A row that is repeated is returned once.
-    best = found.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= k).select("seed", "doc", "doc_id", "score").distinct()
+    best = ranked(found).where(F.col("n") <= k).select("seed", "doc", "doc_id", "score").distinct()
     return best.join(seeds.select("seed", "seed_id"), "seed").select("seed", "seed_id", "doc", F.nullif("doc_id", F.lit(NOTHING)).alias("doc_id"), "score")
 
 

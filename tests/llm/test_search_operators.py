@@ -512,6 +512,33 @@ def test_seeds_find_their_neighbours_in_all_shards(spark, monkeypatch, lot):
     assert all(placed[docs[d][0]] == docs[q][0] for d, (_, q) in offered.items())
 
 
+def test_tasks_hand_on_what_may_be_among_the_best(spark, monkeypatch):
+    for name, value in (("LOT_BYTES", 20_000), ("FEW", 100), ("SAMPLE", 4)):
+        monkeypatch.setattr(packing, name, value, raising=False)
+    handed, materialise = [], packing.materialise
+
+    def counted(df):
+        made = materialise(df)
+        if made.columns == ["seed", "doc", "doc_id", "score"]:
+            handed.append(made.count())
+        return made
+
+    monkeypatch.setattr(packing, "materialise", counted)
+    rng = random.Random(143)
+    rows = [(i, prose(rng, rng.choice([30, 60, 130, 260]), 3000)) for i in range(600)]
+    rows += [rows[k] for k in range(1, 600, 7)]  # repeated rows raise no bound
+    got = packing.neighbours(frame(spark, rows).repartition(40), stride=10, k=8).collect()
+    docs, _, _, best = plain_neighbours(rows, 4096, 10, 1000)
+    want = {}
+    for q, found in best.items():
+        want[docs[q][0]] = {(docs[d][0], -s) for s, d in found}
+        eighth = sorted((-x, i) for i, x in want[docs[q][0]])[:8][-1]
+        want[docs[q][0]] = {(i, x) for i, x in want[docs[q][0]] if (-x, i) <= eighth}
+    assert {(r.seed_id, r.doc_id, r.score) for r in got} == {(q, i, x) for q, found in want.items() for i, x in found}
+    # Forty tasks that each return their best eight would hand on up to 320 rows for each of the sixty seeds.
+    assert len(handed) > 1 and sum(handed) < 60 * 8 * 4 * 2
+
+
 def test_a_shard_of_copies_is_split(spark):
     rng = random.Random(142)
     text = prose(rng, 100, 3000)
