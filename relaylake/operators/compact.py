@@ -11,7 +11,7 @@ from .state import tombstones, vanished, with_version_rank
 
 
 def superseded(log: DataFrame) -> DataFrame:
-    return with_version_rank(log).where("version_rank > 1").select(F.col("id").alias("target_id"))
+    return with_version_rank(log.where(F.col("kind_class").isin("replaceable", "addressable"))).where("version_rank > 1").select(F.col("id").alias("target_id"))
 
 
 def confirmed(log: DataFrame) -> DataFrame:
