@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 PROTOCOL, SKIP, FINGERPRINT, ID_LIST = 0x61, 0, 1, 2
 INFINITY = 2**64 - 1
@@ -37,9 +38,10 @@ def fingerprint(items: DataFrame) -> str:
 
 def difference(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(side, created_at, id): "have" is ours only, "need" is theirs only."""
-    have = ours.join(theirs.select("id"), "id", "left_anti").select(F.lit("have").alias("side"), "created_at", "id")
-    need = theirs.join(ours.select("id"), "id", "left_anti").select(F.lit("need").alias("side"), "created_at", "id")
-    return have.unionAll(need)
+    both = ours.select(F.lit("have").alias("side"), "created_at", "id").unionAll(theirs.select(F.lit("need"), "created_at", "id"))
+    # Each row moves once, by id; a side that is alone under its id has what the other lacks.
+    w = Window.partitionBy("id")
+    return both.select("*", (F.min("side").over(w) == F.max("side").over(w)).alias("alone")).where("alone or id is null").drop("alone")
 
 
 class Session:

@@ -55,3 +55,11 @@ def test_side_tables_of_any_size_give_the_same_visible_set(spark, monkeypatch, m
         ids = [r.id for r in accepted.select("id").collect()]
         assert len(ids) == len(set(ids))
         assert {r.id for r in state.visible(accepted, NOW).select("id").collect()} == model(events, NOW)
+
+
+def test_differences_move_each_row_once(spark):
+    side = lambda *ids: spark.createDataFrame([(n, f"{n:064x}") for n in ids], "created_at bigint, id string")
+    found = negentropy.difference(side(1, 2, 3), side(3, 4))
+    assert exchanges(found, "id") == 1
+    assert sorted((r.side, r.created_at) for r in found.collect()) == [("have", 1), ("have", 2), ("need", 4)]
+    assert negentropy.difference(side(1), side(1)).count() == 0
