@@ -63,3 +63,18 @@ def test_differences_move_each_row_once(spark):
     assert exchanges(found, "id") == 1
     assert sorted((r.side, r.created_at) for r in found.collect()) == [("have", 1), ("have", 2), ("need", 4)]
     assert negentropy.difference(side(1), side(1)).count() == 0
+
+
+def test_version_status_has_running_frames_only(spark):
+    events = [plain(n, 1, 0, (n * 7) % 11) for n in range(20)]
+    found = state.version_status(log(spark, events))
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    best, want = None, {}
+    for n, e in enumerate(events):
+        rank = (e["created_at"], -int(e["id"], 16))
+        want[n] = "rejected" if best is not None and best[0] >= rank else "current"
+        if want[n] == "current":
+            if best is not None:
+                want[best[1]] = "superseded"
+            best = (rank, n)
+    assert {r.seq: r.version_status for r in found.collect()} == want
