@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from test_relay import NOW, history, log, model, plain
 
 from relaylake.operators import negentropy, state
+from relaylake.schema import EVENT_COLUMNS
 from relaylake.sources import catalog
+from relaylake.streaming import live
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 tables = pytest.mark.skipif(not os.path.exists(f"{SF}/events.parquet"), reason="no tables here")
@@ -78,3 +80,54 @@ def test_version_status_has_running_frames_only(spark):
                 want[best[1]] = "superseded"
             best = (rank, n)
     assert {r.seq: r.version_status for r in found.collect()} == want
+
+
+def arrive(spark, path, lots):
+    """A stream in which each lot of events comes as one batch."""
+    for n, lot in enumerate(lots):
+        log(spark, lot).select(*EVENT_COLUMNS).withColumn("seq", F.col("seq") + 1000 * n).coalesce(1).write.mode("append").parquet(path)
+    return live.storable(live.read_events(spark, path))
+
+
+def test_current_versions_are_kept_by_bucket(spark, tmp_path):
+    rng = random.Random(7)
+    lots = [[plain(1000 * lot + n, rng.randrange(400), rng.choice([0, 30001]), rng.randrange(9), [["d", rng.choice("xy")]]) for n in range(500)] for lot in range(3)]
+    progress = live.drain(live.latest_versions(arrive(spark, str(tmp_path / "in"), lots)), str(tmp_path / "out"))
+    keys, changes = {}, []
+    for lot in lots:
+        before = dict(keys)
+        for e in lot:
+            key = (e["pubkey"], e["kind"], e["tags"][0][1] if e["kind"] else "")
+            rank = (e["created_at"], -int(e["id"], 16))
+            if key not in keys or rank > keys[key][0]:
+                keys[key] = (rank, e["id"])
+        changes += [("set", k, v[1]) for k, v in keys.items() if before.get(k) != v] + [("drop", k, v[1]) for k, v in before.items() if keys[k] != v]
+    got = [(r.op, (r.pubkey, r.kind, r.d_value), r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted(changes)
+    # One row of state, and so one call of Python, a bucket.
+    assert len(keys) > 2 * live.BUCKETS and progress["stateOperators"][0]["numRowsTotal"] <= live.BUCKETS
+
+
+def test_deletions_meet_their_targets_without_python(spark, tmp_path):
+    ask = lambda n, author, target: plain(n, author, 5, 1, [["e", f"{target:064x}"]])
+    lots = [
+        [plain(1, 1, 1, 1), ask(2, 1, 3), ask(3, 2, 1), ask(4, 1, 9), plain(5, 1, 7, 1)],
+        [ask(10, 1, 1), ask(11, 1, 1), ask(12, 2, 9), plain(9, 1, 1, 1)],
+        [ask(20, 1, 1), ask(21, 1, 5), plain(22, 3, 1, 1), ask(23, 1, 2), plain(9, 1, 1, 1)],
+    ]
+    found = live.deletions_by_id(arrive(spark, str(tmp_path / "in"), lots))
+    assert "InPandas" not in found._jdf.queryExecution().analyzed().toString()
+    live.drain(found, str(tmp_path / "out"))
+    assert sorted((int(r.target_id, 16), int(r.pubkey, 16)) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 1), (5, 1), (9, 1)]
+
+
+@tables
+def test_arrivals_are_files_of_bounded_size(spark, monkeypatch):
+    from relaylake.plans import registry
+
+    monkeypatch.setattr(registry, "FILE_EVENTS", 50)
+    monkeypatch.setattr(registry, "fresh_path", lambda spark, prefix, _f=registry.fresh_path: paths.append(_f(spark, prefix)) or paths[-1])
+    paths = []
+    assert registry.QUERIES["stream_subscribe"](spark, SF).count() > 0
+    files = spark.read.parquet(paths[-1]).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 20 and max(r["count"] for r in files) < 150
