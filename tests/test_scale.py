@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_relay import NOW, history, log, model, plain
 
+from relaylake.functions import bip340
 from relaylake.operators import negentropy, state
 from relaylake.schema import EVENT_COLUMNS
 from relaylake.sources import catalog
@@ -131,3 +132,22 @@ def test_arrivals_are_files_of_bounded_size(spark, monkeypatch):
     assert registry.QUERIES["stream_subscribe"](spark, SF).count() > 0
     files = spark.read.parquet(paths[-1]).groupBy(F.input_file_name()).count().collect()
     assert len(files) == 20 and max(r["count"] for r in files) < 150
+
+
+def test_products_by_digits_and_signatures_of_frequent_keys(monkeypatch):
+    rng, g = random.Random(8), (*bip340.G, 1)
+    table = bip340.digits(g, 4)
+    for n in [0, 1, 15, 16, 17, 2**255, bip340.N - 1, *(rng.randrange(bip340.N) for _ in range(5))]:
+        want = bip340.multiply(n, 0, bip340._G16)
+        for got in (bip340.times_g(n), bip340.add_digits((1, 1, 0), n, table, 4)):
+            assert bool(got[2]) == bool(want[2]) and (not want[2] or bip340.affine(got) == bip340.affine(want))
+    # Equal points are doubled, opposite ones cancel.
+    assert bip340.affine(bip340.add_digits(g, 1, table, 4)) == bip340.affine(bip340.double(g))
+    assert not bip340.add_digits(g, bip340.N - 1, table, 4)[2]
+    key, messages = bip340.public_key(77), [rng.randbytes(32) for _ in range(40)]
+    signatures = [bip340.sign(77, m) for m in messages]
+    assert all(bip340.verify(key, m, s) for m, s in zip(messages, signatures, strict=True))
+    bad = [(s[:63] + bytes([s[63] ^ 1])) for s in signatures]
+    assert not any(bip340.verify(key, m, s) for m, s in zip(messages, bad, strict=True))
+    monkeypatch.setattr(bip340, "double", lambda p: pytest.fail("a frequent key needs no doubling"))
+    assert bip340.verify(key, messages[0], signatures[0]) and bip340.sign(77, messages[1]) == signatures[1]
