@@ -22,7 +22,7 @@ def confirmed(log: DataFrame) -> DataFrame:
 
 def retained(log: DataFrame, now: int) -> DataFrame:
     """The log without tombstoned, expired and vanished events."""
-    alive = log.where(F.col("expiry").isNull() | (F.col("expiry") > now))
+    alive = log.where(F.coalesce(F.col("expiry") > now, F.lit(True)))
     return alive.join(confirmed(log).withColumnRenamed("target_id", "id"), "id", "left_anti").select(*log.columns)
 
 

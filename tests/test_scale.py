@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 from test_relay import NOW, history, log, model, plain
 
+from relaylake.filters import Filter
 from relaylake.functions import bip340
-from relaylake.operators import negentropy, state
+from relaylake.operators import negentropy, query, state
 from relaylake.schema import EVENT_COLUMNS
 from relaylake.sources import catalog
 from relaylake.streaming import live
@@ -151,3 +152,14 @@ def test_products_by_digits_and_signatures_of_frequent_keys(monkeypatch):
     assert not any(bip340.verify(key, m, s) for m, s in zip(messages, bad, strict=True))
     monkeypatch.setattr(bip340, "double", lambda p: pytest.fail("a frequent key needs no doubling"))
     assert bip340.verify(key, messages[0], signatures[0]) and bip340.sign(77, messages[1]) == signatures[1]
+
+
+def test_batched_requests_read_tags_only_where_a_filter_has_them(spark):
+    events = log(spark, [plain(1, 1, 1, 1, [["t", "x"]]), plain(2, 1, 1059, 2, [["p", f"{1:064x}"]]), plain(3, 2, 7, 3)])
+    untagged = query.request_batch(events, {"a": Filter(authors=[f"{1:064x}"]), "k": Filter(kinds=[7, 1059]), "all": Filter()}).select("sub_id", "seq")
+    assert {tuple(r) for r in untagged.collect()} == {("a", 0), ("k", 2), ("all", 0), ("all", 2)}
+    reads_tags = lambda df: any(name in df._jdf.queryExecution().optimizedPlan().toString() for name in ("filter(tags#", "exists(tags#"))
+    assert not reads_tags(untagged)
+    tagged = query.request_batch(events, {"t": Filter(tags={"t": ["x"]}), "a": Filter(authors=[f"{1:064x}"])}, auth_pubkeys=[f"{1:064x}"]).select("sub_id", "seq")
+    assert reads_tags(tagged)
+    assert {tuple(r) for r in tagged.collect()} == {("t", 0), ("a", 0), ("a", 1)}
